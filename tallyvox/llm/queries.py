@@ -7,13 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm import bpe, packing
+from tallyvox.llm import bpe, exact_dedup, langid, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stateful streaming deduplication of all documents."""
+    return exact_dedup.decided(documents(spark, sf_dir))
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS content FROM documents)
+SELECT doc_id,
+       first_value(doc_id) OVER w AS keep_id,
+       count(*) OVER (PARTITION BY content) AS group_size,
+       row_number() OVER w = 1 AS kept,
+       sha256(content) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY content ORDER BY doc_id NULLS LAST)
+"""
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by error-correcting output codes."""
+    docs = documents(spark, sf_dir)
+    out = langid.identified(docs)
+    return out.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.coalesce(langid.fold(docs, 4) == 2, F.lit(False)).alias("held_out"),
+        F.col("_language.lang_pred").alias("lang_pred"),
+        F.col("_language.score").alias("score"),
+        F.col("_language.ambiguous").alias("ambiguous"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text by forced boundaries, then decode; digests of both."""
     out = bpe.encoded(documents(spark, sf_dir), decode=True)
@@ -35,8 +64,8 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe, "op10_packing": op10_packing}
+    return {"op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": OP3_SQL}
