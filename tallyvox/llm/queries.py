@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm import bpe, exact_dedup, langid, packing
+from tallyvox.llm import bpe, exact_dedup, langid, minhash, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents by HyperMinHash."""
+    return minhash.linked(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents by power-of-two decomposition."""
     return packing_digest(packing.packed(documents(spark, sf_dir)))
@@ -64,7 +69,7 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op10_packing": op10_packing}
+    return {"op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op8_near_duplicates": op8_near_duplicates, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
