@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm import bpe, exact_dedup, langid, minhash, packing
+from tallyvox.llm import bpe, exact_dedup, langid, minhash, neighbours, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of every twentieth, by a forest of random-projection trees."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful streaming deduplication of all documents."""
     return exact_dedup.decided(documents(spark, sf_dir))
@@ -69,7 +75,7 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op8_near_duplicates": op8_near_duplicates, "op10_packing": op10_packing}
+    return {"op2_neighbours": op2_neighbours, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op8_near_duplicates": op8_near_duplicates, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
