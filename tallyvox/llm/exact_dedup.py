@@ -23,6 +23,7 @@ from tallyvox.llm.tables import matched, new_path, written
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no disk set aside for each
 }
 COLUMNS = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 

@@ -7,13 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm import bpe, exact_dedup, langid, minhash, neighbours, packing
+from tallyvox.llm import bpe, exact_dedup, langid, licenses, minhash, neighbours, packing, tools, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of conversations as tool calls, linked with their answers, ordered, validated and serialised."""
+    calls, results = tools.from_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return tools.linked(calls, results, tools.schema_table(spark))
+
+
+OP1_SQL = """
+WITH m AS (SELECT conv_id, turn, role, text, conv_id || '-' || CASE role WHEN 'user' THEN turn ELSE turn - 1 END AS call_id FROM conversations WHERE role IN ('user', 'assistant')),
+c AS (SELECT call_id, any_value(conv_id) AS conv_id, any_value(turn) AS turn, min('{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"chars":' || coalesce(length(text), 0) || '}') AS raw, arg_min(text, '{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"chars":' || coalesce(length(text), 0) || '}') AS text, count(*) AS n FROM m WHERE role = 'user' AND call_id IS NOT NULL GROUP BY call_id),
+r AS (SELECT call_id, any_value(conv_id) AS conv_id, any_value(turn) AS turn, min(text) AS content, count(*) AS n FROM m WHERE role = 'assistant' AND call_id IS NOT NULL GROUP BY call_id),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, c.turn AS turn, call_id, r.turn AS result_turn,
+       CASE WHEN c.n IS NULL THEN 'no_call' WHEN r.n IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+       c.turn AS level, CASE WHEN c.n IS NOT NULL THEN false END AS cyclic,
+       CASE WHEN c.n IS NOT NULL THEN c.text IS NOT NULL END AS valid,
+       CASE WHEN c.n IS NOT NULL THEN CASE WHEN c.text IS NULL THEN 'missing text' ELSE '' END END AS problems,
+       coalesce(c.n, 0) + coalesce(r.n, 0) AS copies,
+       '{"arguments":' || CASE WHEN c.n IS NULL THEN 'null' ELSE '{"chars":' || coalesce(length(c.text), 0) || ',"text":' || coalesce(to_json(c.text)::VARCHAR, 'null') || '}' END
+       || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || CASE WHEN c.n IS NULL THEN 'null' ELSE '"ask"' END || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
+  FROM c FULL JOIN r USING (call_id))
+SELECT * FROM j
+UNION ALL
+SELECT conv_id, CASE role WHEN 'user' THEN turn END, NULL, CASE role WHEN 'assistant' THEN turn END, 'no_id', NULL, NULL, NULL, NULL, 1, NULL FROM m WHERE call_id IS NULL
+"""
+
+
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest embeddings of every twentieth, by a forest of random-projection trees."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -60,6 +85,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in all documents."""
+    return licenses.scanned(documents(spark, sf_dir))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's URL."""
+    return urls.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents by HyperMinHash."""
     return minhash.linked(documents(spark, sf_dir))
@@ -75,8 +110,8 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_neighbours": op2_neighbours, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op8_near_duplicates": op8_near_duplicates, "op10_packing": op10_packing}
+    return {"op1_tool_links": op1_tool_links, "op2_neighbours": op2_neighbours, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_near_duplicates": op8_near_duplicates, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op1_tool_links": OP1_SQL, "op3_exact_dedup": OP3_SQL}
