@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm import bpe, exact_dedup, langid, licenses, minhash, neighbours, packing, tools, urls
+from tallyvox.llm import bpe, exact_dedup, langid, licenses, lm, minhash, neighbours, packing, tools, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.linked(documents(spark, sf_dir))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-probability of every document by a backoff automaton."""
+    return lm.scored(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents by power-of-two decomposition."""
     return packing_digest(packing.packed(documents(spark, sf_dir)))
@@ -110,7 +115,7 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_tool_links": op1_tool_links, "op2_neighbours": op2_neighbours, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_near_duplicates": op8_near_duplicates, "op10_packing": op10_packing}
+    return {"op1_tool_links": op1_tool_links, "op2_neighbours": op2_neighbours, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_near_duplicates": op8_near_duplicates, "op9_lm": op9_lm, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
