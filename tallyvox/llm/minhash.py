@@ -11,13 +11,17 @@ their full sets.
 
 Documents with equal sets are one class; only its smallest id is compared. In each
 band's group every document is compared with a few centres, not with all others: the
-links found join most of a group of near copies. Then, in groups that still hold several
-components, the pairs across components are compared as well, so no pair that
-agrees in a band is left out unless its documents are already joined.
-
-At a similarity of 0.75 the chance that no band agrees is (1 - 0.75^5)^51, about one in a
-million. Empty registers agree with nothing; for sets with few shingles each band holds
-fewer registers, so they are found more surely still.
+links found join most of a group of near copies. Then the groups that still hold several
+components are gone through in blocks: each task takes two blocks of one group, compares all
+their pairs across components, first by estimate, then exactly through an inverted index
+of the shingles, and returns only the links that join components. Blocks that lie in one and the
+same component are left out. So no pair that agrees in a band is left uncompared unless its documents
+are already joined, and no pair is ever a row.
+
+A set with few shingles leaves registers empty. For the bands only, an empty one borrows from the
+first that isn't in a fixed random order of its own, so that it agrees with a probability of the
+similarity too. At a similarity of 0.75 the chance that no band agrees is
+(1 - 0.75^5)^51, about one in a million.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. With fewer than
 WORDS words, the whole sequence is the one shingle. A null text, or one without words, has an
@@ -40,10 +44,13 @@ WORDS, PERCENT = 5, 75
 BUCKETS, MANTISSA, ROWS = 256, 10, 5
 BANDS = BUCKETS // ROWS
 MISS = 1e-7
+BLOCK = 128
 KNOWN_WORDS = 500_000
 U = np.uint64
 # Odd multipliers from one generator; any fixed ones do.
 ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
+#: For each register, the order in which it looks for one to borrow from.
+LENDERS = np.stack([np.random.default_rng(19 + i).permutation(BUCKETS) for i in range(BUCKETS)])
 #: Masks that order ids differently, so that bands have different centres.
 MASKS = [int(x) for x in np.random.default_rng(13).integers(0, 1 << 62, 4)]
 
@@ -95,16 +102,33 @@ def registers(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Rows of registers with the empty ones borrowed; a row without any stays empty."""
+    out, todo = regs.copy(), np.flatnonzero((regs == 0).any(axis=1) & (regs > 0).any(axis=1))
+    for turn in range(BUCKETS):
+        if not len(todo):
+            break
+        some = np.where(out[todo] == 0, regs[todo][:, LENDERS[:, turn]], out[todo])
+        out[todo] = some
+        todo = todo[(some == 0).any(axis=1)]
+    return out
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of rows of registers: the Jaccard estimates, without the expected accidents, and the registers they rest on."""
-    some = ((a > 0) | (b > 0)).sum(axis=1)
+    some = ((a > 0) | (b > 0)).sum(axis=-1)
     both = (a > 0) & (b > 0)
-    same = (both & (a == b)).sum(axis=1)
+    same = (both & (a == b)).sum(axis=-1)
     # two different minima of sets of like size agree in leading zeros in about a third of cases, and then in the mantissa by 2^-MANTISSA
-    accidents = both.sum(axis=1) / (3.0 * (1 << MANTISSA))
+    accidents = both.sum(axis=-1) / (3.0 * (1 << MANTISSA))
     return (same - accidents) / np.maximum(some - accidents, 1.0), some
 
 
+def may_link(j: np.ndarray, some: np.ndarray, percent: int) -> np.ndarray:
+    """Whether estimates j, resting on so many registers, leave a link possible."""
+    return j >= percent / 100 - np.sqrt(np.log(1 / MISS) / (2 * np.maximum(some, 1)))
+
+
 def kept_hashes() -> Hashes:
     """The word hashes of this Python process, kept while its worker is reused."""
     import sys
@@ -138,7 +162,7 @@ def sketched(docs: DataFrame, width: int = WORDS) -> DataFrame:
 
 
 def banded(sketches: DataFrame) -> DataFrame:
-    """key, id, n: one row for each band of a sketch that isn't empty."""
+    """key, id: one row for each band of a sketch that isn't empty."""
 
     def band(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -146,15 +170,15 @@ def banded(sketches: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                regs = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+                regs = filled(np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS))[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
                 keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[None] * ODD[62], len(regs), axis=0)
                 for i in range(ROWS):
                     keys = mixed(keys + regs[:, :, i] * ODD[10 + i])
                 row, column = np.nonzero(regs.any(axis=2))
-                ids, n = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row, column].view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(n[row], pa.int64())], names=["key", "id", "n"])
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row, column].view(np.int64)), pa.array(ids[row], pa.int64())], names=["key", "id"])
 
-    return sketches.select("doc_id", "n", "registers").mapInArrow(band, "key bigint, id bigint, n bigint")
+    return sketches.select("doc_id", "registers").mapInArrow(band, "key bigint, id bigint")
 
 
 def likely(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -167,8 +191,7 @@ def likely(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS) for i in (2, 3))
                 j, some = estimate(a, b)
-                mask = pa.array(j >= percent / 100 - np.sqrt(np.log(1 / MISS) / (2 * np.maximum(some, 1))))
-                yield batch.select([0, 1]).filter(mask)
+                yield batch.select([0, 1]).filter(pa.array(may_link(j, some, percent)))
 
     return pairs.select("a", "b", "registers_a", "registers_b").mapInArrow(keep, "a bigint, b bigint")
 
@@ -205,21 +228,83 @@ def full_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(sets, "id bigint, set binary")
 
 
-def links_of(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, verified on full sets."""
+def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links: likely by estimate, verified on full sets. sets: id, set, registers."""
     spark = pairs.sparkSession
-    pairs = written(spark, pairs, "pairs")
-    ids = written(spark, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    of = matched(sketches.select(F.col("doc_id").alias("id"), "registers"), ids, ["id"], "left_semi")
-    seen = pairs.join(of.toDF("a", "registers_a"), "a").join(of.toDF("b", "registers_b"), "b")
-    pairs = written(spark, likely(seen, percent), "likely")
-    ids = written(spark, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    texts = matched(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids, ["doc_id"], "left_semi")
-    sets = written(spark, full_sets(texts, width), "sets")
-    seen = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    regs = sets.select("id", "registers")
+    seen = pairs.join(regs.toDF("a", "registers_a"), "a").join(regs.toDF("b", "registers_b"), "b")
+    some = written(spark, likely(seen, percent), "likely")
+    full = sets.select("id", "set")
+    seen = some.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b")
     return written(spark, verified(seen, percent).distinct(), "links")
 
 
+def joins_in_block(ids: np.ndarray, sides: np.ndarray, components: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that links join, as few as connect them. sides: 0 for rows to be compared with all, else 1 and 2 with each other."""
+    names, of = np.unique(components, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    sizes, out = np.array([len(x) for x in sets]), []
+    for x in range(len(sets)):
+        other = (of != of[x]) & ((sides == 0) | (sides != sides[x]))
+        other[: x + 1] = False
+        small, large = np.minimum(sizes, sizes[x]), np.maximum(sizes, sizes[x])
+        at = np.flatnonzero(other & (100 * small >= percent * large))
+        if len(at):
+            at = at[may_link(*estimate(regs[at], regs[x][None]), percent)]
+        if not len(at):
+            continue
+        low, high = np.searchsorted(every, sets[x]), np.searchsorted(every, sets[x], "right")
+        found = np.concatenate([owner[a:b] for a, b in zip(low, high)])
+        same = np.bincount(found, minlength=len(sets))[at]
+        for y in at[100 * same >= percent * (sizes[at] + sizes[x] - same)]:
+            a, b = top(of[x]), top(of[y])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(names[of[x]]), int(names[of[y]])))
+    return out
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b: components) across components within each cluster of rows (low, id, of).
+
+    A component with many rows in a cluster has blocks of its own; the rest share blocks. Blocks of like component aren't paired.
+    """
+    spark = rows.sparkSession
+    sizes = rows.groupBy("low", "of").agg(F.count(F.lit(1)).alias("size")).withColumn("own", F.col("size") >= block // 2)
+    shared = sizes.groupBy("low").agg(F.sum(F.when(~F.col("own"), F.col("size")).otherwise(0)).alias("rest"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("bigint")
+    sizes = written(spark, sizes.join(shared, "low"), "sizes")
+    dealt = rows.join(sizes, ["low", "of"]).withColumn("pure", F.when(F.col("own"), F.col("of")))
+    number = F.when(F.col("own"), F.pmod(F.xxhash64("id"), parts(F.col("size")))).otherwise(F.pmod(F.xxhash64("of"), parts(F.col("rest"))))
+    dealt = written(spark, dealt.select("low", "id", "of", "pure", number.alias("no")), "dealt")
+    blocks = written(spark, dealt.select("low", "pure", "no").distinct().withColumn("block", F.xxhash64("low", "pure", "no")), "blocks")
+    one, two = blocks.select("low", F.col("pure").alias("p"), F.col("block").alias("x")), blocks.select("low", F.col("pure").alias("q"), F.col("block").alias("y"))
+    pairs = written(spark, one.join(two, "low").filter("x <= y and (p is null or q is null or p <> q)").select("x", "y"), "pairs")
+    sided = pairs.select(F.col("x").alias("block"), "x", "y", F.when(F.col("x") == F.col("y"), 0).otherwise(1).alias("side")).union(pairs.filter("x <> y").select(F.col("y"), "x", "y", F.lit(2)))
+    sided = written(spark, sided.withColumnRenamed("x", "first").withColumnRenamed("y", "second"), "pairs")
+    full = dealt.select(F.xxhash64("low", "pure", "no").alias("block"), "id", "of").join(sets, "id")
+
+    def compare(table):
+        import pyarrow as pa
+
+        sets_of = [np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()]
+        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
+        found = joins_in_block(*(table.column(c).to_numpy() for c in ("id", "side", "of")), sets_of, regs, percent)
+        return pa.table([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return matched(full, sided, ["block"], "inner").groupBy("first", "second").applyInArrow(compare, "a bigint, b bigint")
+
+
 def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -234,22 +319,24 @@ def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     # every document against its groups' centres
     mask = F.element_at(F.array(*map(F.lit, MASKS)), F.expr(f"cast(key & {len(MASKS) - 1} as int) + 1"))
     bands = banded(firsts)
-    groups = bands.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    groups = groups.select("key", F.col("c").bitwiseXOR(mask).alias("centre"))
-    held = written(spark, bands.join(groups, "key"), "bands")
+    groups = bands.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("c"), F.min("id").alias("low"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    groups = groups.select("key", "low", F.col("c").bitwiseXOR(mask).alias("centre"))
+    held = written(spark, bands.join(groups, "key").select("low", "centre", "id").distinct(), "groups")
+    ids = written(spark, held.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    n_ids = ids.count()
+    texts = matched(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids, ["doc_id"], "left_semi", n_ids)
+    kept = matched(sketches.select("doc_id", "registers"), ids, ["doc_id"], "left_semi", n_ids).withColumnRenamed("doc_id", "id")
+    sets = written(spark, full_sets(texts, width).join(kept, "id"), "sets")
     pairs = held.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    links = links_of(pairs, docs, sketches, width, percent)
+    links = links_of(pairs, sets, percent)
     first = components(links)
 
-    # then the rest: pairs across components in one group
-    known = first.count()
-    labelled = matched(held, first.withColumnRenamed("node", "id"), ["id"], "left", known).select("key", "id", "n", "centre", F.coalesce("component", "id").alias("of"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y and size > 2").select("key")
-    rest = written(spark, labelled.join(mixed_keys, "key"), "rest")
-    a, b = rest.toDF("key", "a", "n_a", "centre", "of_a"), rest.toDF("key", "b", "n_b", "centre_b", "of_b").drop("centre_b")
-    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("of_a") != F.col("of_b")) & (F.col("a") < F.col("b"))
-    across = a.join(b, "key").filter(near & (F.col("a") != F.col("centre")) & (F.col("b") != F.col("centre"))).select("a", "b").distinct()
-    more = links_of(across, docs, sketches, width, percent)
+    # then the rest: across components within one group
+    labelled = matched(held.select("low", "id").distinct(), first.withColumnRenamed("node", "id"), ["id"], "left").select("low", "id", F.coalesce("component", "id").alias("of"))
+    labelled = written(spark, labelled, "labelled")
+    several = written(spark, labelled.groupBy("low").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y and size > 2").select("low"), "several")
+    rest = matched(labelled, several, ["low"], "left_semi")
+    more = written(spark, block_links(rest, sets, percent), "links")
     if more.isEmpty():
         found = first
     else:
