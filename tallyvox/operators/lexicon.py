@@ -30,16 +30,20 @@ CATEGORIES = ["substations", "missions", "voltage_levels", "lines_and_bays", "de
 ASSET_CATEGORIES = ["lines_and_bays", "devices", "device_codes", "protection_plates", "handles"]
 
 
-def target(entry: Column) -> Column:
-    """The device, plate or handle that an entry is about; null if there is none."""
-    text = F.regexp_replace(F.btrim(entry, F.lit("。；; ")), LEADING, "")
-    panel = F.regexp_extract(text, "^(测控屏|汇控柜)", 1)
-    text = F.concat(panel, F.regexp_replace(F.substring(text, F.length(panel) + 1, F.length(text)), LEADING, ""))
-    ends = [F.nullif(F.instr(text, m), F.lit(0)) for m in END_MARKERS]
-    head = F.substring(text, F.lit(1), F.coalesce(F.least(*ends) - 1, F.length(text)))
-    found = F.regexp_replace(F.btrim(head, F.lit(" ，,、")), "(?:两只|一只|三只)$", "")
+def with_target(entries: DataFrame, to: str = "target") -> DataFrame:
+    """entries with the device, plate or handle that each is about; null if there is none.
+
+    Step by step as columns of their own, since each is used many times by the next.
+    """
+    df = entries.withColumn("_text", F.regexp_replace(F.btrim("entry", F.lit("。；; ")), LEADING, ""))
+    df = df.withColumn("_panel", F.regexp_extract("_text", "^(测控屏|汇控柜)", 1))
+    df = df.withColumn("_text", F.concat("_panel", F.regexp_replace(F.expr("substring(_text, length(_panel) + 1)"), LEADING, "")))
+    ends = [F.nullif(F.instr("_text", m), F.lit(0)) for m in END_MARKERS]
+    df = df.withColumn("_end", F.coalesce(F.least(*ends) - 1, F.length("_text")))
+    df = df.withColumn("_found", F.regexp_replace(F.btrim(F.expr("substring(_text, 1, _end)"), F.lit(" ，,、")), "(?:两只|一只|三只)$", ""))
+    found = F.col("_found")
     fits = reduce(lambda a, b: a | b, (found.contains(s) for s in ASSET_SUFFIXES)) | found.rlike(CODE) | found.rlike(DEVICE_CODE)
-    return F.when((found != "") & ~found.isin(*NOT_ASSETS) & fits, found)
+    return df.withColumn(to, F.when((found != "") & ~found.isin(*NOT_ASSETS) & fits, found)).drop("_text", "_panel", "_end", "_found")
 
 
 def entry_terms(entries: DataFrame) -> DataFrame:
@@ -48,8 +52,7 @@ def entry_terms(entries: DataFrame) -> DataFrame:
     of = lambda category, terms: F.transform(terms, lambda t: F.struct(F.lit(category).alias("category"), t.alias("term")))
     words = lambda category, vocabulary: of(category, F.filter(F.array(*map(F.lit, vocabulary)), lambda w: entry.contains(w)))
     every = lambda category, pattern, group=0: of(category, F.regexp_extract_all(entry, F.lit(pattern), F.lit(group)))
-    t = target(entry)
-    core = F.regexp_replace(t, "^(?:汇控柜|测控屏)", "")
+    t, core = F.col("_target"), F.col("_core")
     some = lambda category, *xs: of(category, F.array_compact(F.array(*xs)))
     finds = F.concat(
         words("actions", ACTIONS), words("positions_and_states", STATES), words("panels", PANELS), words("handles", HANDLES),
@@ -58,7 +61,8 @@ def entry_terms(entries: DataFrame) -> DataFrame:
         some("devices", t, F.when(core != t, core)), some("protection_plates", F.when(t.contains("压板"), t)),
         of("voltage_levels", F.transform(F.regexp_extract_all(entry, F.lit(VOLTAGE), F.lit(0)), canonical_voltage)),
     )
-    return entries.select(F.concat("ticket", F.lit("#"), F.col("seq").cast("string")).alias("source"), F.explode(finds).alias("x")).select("x.category", "x.term", "source")
+    named = with_target(entries, "_target").withColumn("_core", F.regexp_replace("_target", "^(?:汇控柜|测控屏)", ""))
+    return named.select(F.concat("ticket", F.lit("#"), F.col("seq").cast("string")).alias("source"), F.explode(finds).alias("x")).select("x.category", "x.term", "source")
 
 
 def all_terms(tickets: DataFrame, entries: DataFrame) -> DataFrame:
