@@ -215,6 +215,8 @@ def verified(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """id, set (sorted hashes, binary), registers."""
+
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -222,10 +224,10 @@ def full_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                found = [shingles(t, hashes, width).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["id", "set"])
+                found = [shingles(t, hashes, width) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([registers(x).tobytes() for x in found], pa.binary())], names=["id", "set", "registers"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(sets, "id bigint, set binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(sets, "id bigint, set binary, registers binary")
 
 
 def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -311,10 +313,12 @@ def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     sketches = written(spark, sketched(docs, width), "sketches")
     classes = sketches.filter("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"))
     classes = written(spark, classes.filter("id <> last").select("set_id", "id"), "classes")
-    members = matched(sketches.select("doc_id", "n", "set_id"), classes, ["set_id"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id"))
-    members = written(spark, members, "members")
-    others = written(spark, members.filter("id <> doc_id").select("doc_id").distinct(), "others")
-    firsts = matched(sketches.filter("n > 0 and doc_id is not null"), others, ["doc_id"], "left_anti")
+    members = matched(sketches.select("doc_id", "n", "set_id"), classes, ["set_id"], "left")
+    members = written(spark, members.select("doc_id", "n", "set_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id")), "members")
+    others = written(spark, members.filter("id <> doc_id").select("doc_id", "set_id").distinct(), "others")
+    firsts = matched(sketches.filter("n > 0 and doc_id is not null"), others, ["doc_id", "set_id"], "left_anti")
+    repeated = written(spark, members.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"), "repeated")
+    n_repeated = repeated.count()
 
     # every document against its groups' centres
     mask = F.element_at(F.array(*map(F.lit, MASKS)), F.expr(f"cast(key & {len(MASKS) - 1} as int) + 1"))
@@ -325,10 +329,11 @@ def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     ids = written(spark, held.select(F.col("id").alias("doc_id")).distinct(), "ids")
     n_ids = ids.count()
     texts = matched(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids, ["doc_id"], "left_semi", n_ids)
-    kept = matched(sketches.select("doc_id", "registers"), ids, ["doc_id"], "left_semi", n_ids).withColumnRenamed("doc_id", "id")
-    sets = written(spark, full_sets(texts, width).join(kept, "id"), "sets")
+    sets = written(spark, full_sets(texts.dropDuplicates(["doc_id", "text"]) if n_repeated else texts, width), "sets")
     pairs = held.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     links = links_of(pairs, sets, percent)
+    if n_repeated:  # rows that share a doc_id
+        links = links.union(matched(members.filter("n > 0"), repeated, ["doc_id"], "left_semi", n_repeated).filter("id <> doc_id").select("doc_id", "id"))
     first = components(links)
 
     # then the rest: across components within one group
