@@ -17,8 +17,14 @@ SUFFIXES = [".wav", ".mp3", ".m4a", ".flac", ".ogg", ".aac", ".wma", ".opus"]
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """path, length of the files of a folder (or one file), without their content."""
-    return spark.read.format("binaryFile").load(path).select("path", "length")
+    """path, length of the files of a folder, or of one file.
+
+    Listed through the file system of the path, since Spark's readers leave out names that begin with an underscore; decoded()
+    takes files from such a reader, so those have to be renamed first.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return spark.createDataFrame([(f.getPath().toString(), f.getLen()) for f in found if f.isFile()], "path string, length bigint")
 
 
 def clips(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
