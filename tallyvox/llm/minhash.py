@@ -282,11 +282,11 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLO
     A component with many rows in a cluster has blocks of its own; the rest share blocks. Blocks of like component aren't paired.
     """
     spark = rows.sparkSession
-    sizes = rows.groupBy("low", "of").agg(F.count(F.lit(1)).alias("size")).withColumn("own", F.col("size") >= block // 2)
-    shared = sizes.groupBy("low").agg(F.sum(F.when(~F.col("own"), F.col("size")).otherwise(0)).alias("rest"))
+    sizes = written(spark, rows.groupBy("low", "of").agg(F.count(F.lit(1)).alias("size")).withColumn("own", F.col("size") >= block // 2), "sizes")
+    shared = written(spark, sizes.groupBy("low").agg(F.sum(F.when(~F.col("own"), F.col("size")).otherwise(0)).alias("rest")), "shared")
     parts = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("bigint")
-    sizes = written(spark, sizes.join(shared, "low"), "sizes")
-    dealt = rows.join(sizes, ["low", "of"]).withColumn("pure", F.when(F.col("own"), F.col("of")))
+    sizes = written(spark, matched(sizes, shared, ["low"], "inner"), "sizes")
+    dealt = matched(rows, sizes, ["low", "of"], "inner").withColumn("pure", F.when(F.col("own"), F.col("of")))
     number = F.when(F.col("own"), F.pmod(F.xxhash64("id"), parts(F.col("size")))).otherwise(F.pmod(F.xxhash64("of"), parts(F.col("rest"))))
     dealt = written(spark, dealt.select("low", "id", "of", "pure", number.alias("no")), "dealt")
     blocks = written(spark, dealt.select("low", "pure", "no").distinct().withColumn("block", F.xxhash64("low", "pure", "no")), "blocks")
@@ -324,8 +324,8 @@ def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     mask = F.element_at(F.array(*map(F.lit, MASKS)), F.expr(f"cast(key & {len(MASKS) - 1} as int) + 1"))
     bands = banded(firsts)
     groups = bands.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("c"), F.min("id").alias("low"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    groups = groups.select("key", "low", F.col("c").bitwiseXOR(mask).alias("centre"))
-    held = written(spark, bands.join(groups, "key").select("low", "centre", "id").distinct(), "groups")
+    groups = written(spark, groups.select("key", "low", F.col("c").bitwiseXOR(mask).alias("centre")), "groups")
+    held = written(spark, matched(bands, groups, ["key"], "inner").select("low", "centre", "id").distinct(), "groups")
     ids = written(spark, held.select(F.col("id").alias("doc_id")).distinct(), "ids")
     n_ids = ids.count()
     texts = matched(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids, ["doc_id"], "left_semi", n_ids)
