@@ -21,18 +21,19 @@ from __future__ import annotations
 import json
 import re
 import sys
-import types
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+from tallyvox.llm.tables import kept
+
 WS = " \t\n\x0b\x0c\r"
 #: The pattern of byte-level BPE vocabularies of this kind (a fixed value of the format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Fragments of these characters only are split alike by every Unicode version of the pattern's classes.
 PLAIN = re.compile("[\x00-\x7fÀ-ɏ]*")
 UNEVEN = ["  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f"]
-KNOWN_FRAGMENTS = 600_000
+KNOWN_FRAGMENTS = 250_000
 
 
 @lru_cache(maxsize=1)
@@ -85,8 +86,8 @@ class Codec:
         ids = [layout["model"]["vocab"]["".join(m)] for m in merged]
         self.ranked = ids == sorted(ids) and len(letters) == 256  # then ids are merge ranks
         self.fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=vocab, special_tokens={}) if self.ranked else None
-        self.pieces = dict(zip(vocab.values(), vocab.keys())) | {i: s.encode() for s, i in self.special.items()}
-        self.table = [self.pieces.get(i, b"") for i in range(max(self.pieces) + 1)]
+        pieces = dict(zip(vocab.values(), vocab.keys())) | {i: s.encode() for s, i in self.special.items()}
+        self.table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.fragment, self.inner = cut_patterns(inner_pairs(vocab))
         self.marked = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.known: dict[str, bytes] = {}
@@ -144,10 +145,7 @@ class Codec:
 
 def codec_of(spec: str) -> Codec:
     """The codec of this Python process; a reused worker keeps it, with the fragments it knows."""
-    kept = sys.modules.setdefault("_tallyvox_kept", types.ModuleType("_tallyvox_kept"))
-    if getattr(kept, "spec", None) != spec:
-        kept.spec, kept.codec = spec, Codec(spec)
-    return kept.codec
+    return kept("codec", spec, lambda: Codec(spec))
 
 
 def read_spec(path: str) -> str:

@@ -42,7 +42,7 @@ BLOCK_ROWS = 1024
 BUCKET_BYTES = 8 << 20  # of text behind one bucket
 END, START = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 LEFT, RIGHT = U(0xFF51AFD7ED558CCD), U(0x9DDFEA08EB382D69)
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 250_000
 
 
 def tokens(text: str | None, hashes: dict) -> np.ndarray:

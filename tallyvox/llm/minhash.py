@@ -38,14 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvox.llm.components import components
-from tallyvox.llm.tables import matched, written
+from tallyvox.llm.tables import kept, matched, written
 
 WORDS, PERCENT = 5, 75
 BUCKETS, MANTISSA, ROWS = 256, 10, 5
 BANDS = BUCKETS // ROWS
 MISS = 1e-7
 BLOCK = 128
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 250_000
 U = np.uint64
 # Odd multipliers from one generator; any fixed ones do.
 ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
@@ -131,13 +131,7 @@ def may_link(j: np.ndarray, some: np.ndarray, percent: int) -> np.ndarray:
 
 def kept_hashes() -> Hashes:
     """The word hashes of this Python process, kept while its worker is reused."""
-    import sys
-    import types
-
-    kept = sys.modules.setdefault("_tallyvox_words", types.ModuleType("_tallyvox_words"))
-    if not hasattr(kept, "hashes"):
-        kept.hashes = Hashes()
-    return kept.hashes
+    return kept("hashes", None, Hashes)
 
 
 def sketched(docs: DataFrame, width: int = WORDS) -> DataFrame:

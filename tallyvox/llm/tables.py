@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +49,13 @@ def matched(left: DataFrame, small: DataFrame, on: Sequence[str], how: str, rows
     if rows is None:
         rows = small.count()
     return left.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, list(on), how)
+
+
+def kept(kind: str, key: object, make: Callable[[], object]) -> object:
+    """What a reused Python worker keeps from task to task: one thing at a time, made anew for another kind or key."""
+    slot = sys.modules.setdefault("_tallyvox_kept", types.ModuleType("_tallyvox_kept"))
+    if getattr(slot, "kind", None) != (kind, key):
+        slot.kind, slot.value = None, None  # the old one goes before the new one is made
+        slot.value = make()
+        slot.kind = (kind, key)
+    return slot.value
