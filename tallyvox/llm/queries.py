@@ -100,6 +100,22 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.linked(documents(spark, sf_dir))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+n AS (SELECT doc_id, len(shingles) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * same >= 75 * (p.n_shingles + q.n_shingles - same)),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached),
+m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)
+"""
+
+
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log-probability of every document by a backoff automaton."""
     return lm.scored(documents(spark, sf_dir))
@@ -119,4 +135,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_links": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op1_tool_links": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_near_duplicates": OP8_SQL}
