@@ -12,6 +12,11 @@ from tallyvox.functions.text import error_kinds, error_rate, normalise
 ITEM_STATES = ["VERIFIED", "FLAGGED", "FAILED", "UNCONFIRMED"]
 
 
+def with_reference(clips: DataFrame, items: DataFrame) -> DataFrame:
+    """clips (seq, ...) with the text of the item of their number as `reference`; null where there is none."""
+    return clips.join(items.select("seq", F.col("raw").alias("reference")), "seq", "left")
+
+
 def evaluated(clips: DataFrame) -> DataFrame:
     """clips (reference, hypothesis, ...) with cer_raw, cer_norm and error_kinds; null where there is no reference."""
     ref, hyp = normalise(F.col("reference")), normalise(F.col("hypothesis"))

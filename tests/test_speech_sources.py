@@ -160,6 +160,11 @@ def test_audio(spark, tmp_path):
     assert whole.first().audio_path == "1.wav" and {(r.name, r.missing) for r in lacking.collect()} == {("b", "audio"), ("c", "ticket")}
 
 
+def test_reference_of_clips(spark):
+    clips, items = spark.createDataFrame([("a", 1), ("b", 9), ("c", None)], "name string, seq int"), spark.createDataFrame([(1, "检查")], "seq int, raw string")
+    assert {r.name: r.reference for r in evaluation.with_reference(clips, items).collect()} == {"a": "检查", "b": None, "c": None}
+
+
 def test_evaluation_and_reports(spark, tmp_path):
     clips = spark.createDataFrame([("x", "拉开桥100", "拉开桥200", 2.0, 0.5, True), ("x", None, "y", 0.0, 0.0, None)], "label string, reference string, hypothesis string, audio_seconds double, infer_seconds double, aligned boolean")
     s = evaluation.summary(evaluation.evaluated(clips)).first()
