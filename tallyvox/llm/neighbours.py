@@ -3,9 +3,10 @@
 Each tree halves a bounded sample again and again at the median along the difference of two
 random members, to leaves of about LEAF rows. Every row is then put into one leaf of each
 tree. A query walks all trees at once through one priority queue, ordered by the
-smallest margin on the way, and opens the best PROBES leaves. Where a leaf's rows and its
-queries meet, all of them are scored exactly, in double precision, and each
-query keeps its best there; the best of all leaves are its answer.
+smallest margin on the way, and opens the best leaves: PROBES, or as many more as it takes until
+TRIALS of the queries meet the share RECALL of their true neighbours, which are found by scoring all
+rows. Where a leaf's rows and its queries meet, all of them are scored exactly, in double
+precision, and each query keeps its best there; the best of all leaves are its answer.
 
 Nearness is the inner product. For the trees, a vector gets one more component
 that brings all to the same length, so near means a large inner product for
@@ -35,6 +36,7 @@ from tallyvox.llm.tables import written
 K, TREES, LEAF, PROBES = 20, 16, 256, 160
 SAMPLE = 65_536  # rows that trees are grown on, at most about so many
 LEAST_IN_LEAF = 16  # of the sample
+TRIALS, RECALL = 200, 0.93
 SALTS = 64
 
 
@@ -79,6 +81,25 @@ class Forest:
             out.append(found)
         return out
 
+    def margins(self, query: np.ndarray) -> np.ndarray:
+        """The smallest margin on the way to each leaf, tree after tree, for one lifted query."""
+        side, out = self.planes @ query - self.cuts, np.full((len(self.planes), 1), -np.inf)
+        for level in range(self.depth):
+            s = side[:, (1 << level) - 1 : (2 << level) - 1]
+            out = np.stack([np.maximum(out, s), np.maximum(out, -s)], axis=2).reshape(len(side), -1)
+        return out.ravel()
+
+    def needed(self, queries: np.ndarray, near: list[np.ndarray], share: float) -> int:
+        """How many leaves each query has to open for that share of all vectors near to the queries to be met."""
+        first, trees = [], np.arange(len(self.planes))
+        for q, y in zip(self.lifted(queries, True), near):
+            order = np.argsort(self.margins(q), kind="stable")  # as in probes()
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            first.append(place[(trees << self.depth) + self.leaves(y)].min(axis=1))
+        first = np.sort(np.concatenate(first))
+        return int(first[int(np.ceil(share * len(first))) - 1]) + 1
+
 
 def grown(sample: np.ndarray, depth: int, reach: float, trees: int, seed: int = 17) -> Forest:
     draw, d, inner = np.random.default_rng(seed), sample.shape[1] + 1, (1 << depth) - 1
@@ -127,7 +148,7 @@ def entries(rows: DataFrame, dtype: str, k: int) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest rows of vectors for each row of queries, without its own id."""
+    """query_id, rank (from 1), vec_id, score: the k nearest rows of vectors for each row of queries, without its own id; probes is the least number of opened leaves."""
     spark = vectors.sparkSession
     kind = vectors.schema[vector_col].dataType.elementType.typeName()
     dtype = "<f4" if kind == "float" else "<f8"
@@ -176,7 +197,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 v = part.column(1).to_pylist()
-                found = forest.value.probes(np.frombuffer(b"".join(v), dtype=dtype).reshape(-1, d).astype(np.float64), probes)
+                found = forest.value.probes(np.frombuffer(b"".join(v), dtype=dtype).reshape(-1, d).astype(np.float64), most)
                 tree, leaf_no = zip(*(x for f in found for x in f))
                 at_row = pa.array(np.repeat(np.arange(len(v)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf_no, pa.int32()), *(part.column(i).take(at_row) for i in (0, 1))], names=["tree", "leaf", "query", "q"])
@@ -207,11 +228,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
 
     asked = written(spark, asked_rows.mapInArrow(flat, "query_id bigint, v binary").distinct(), "queries")
     distinct = written(spark, asked.select("v").distinct().select(F.monotonically_increasing_id().alias("query"), "v"), "queries")
+
+    def true(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        q = np.frombuffer(b"".join(trials), dtype=dtype).reshape(-1, d).astype(np.float64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                v = batch.column(0).slice(at, 4096).to_pylist()
+                score = np.einsum("qd,nd->qn", q, np.frombuffer(b"".join(v), dtype=dtype).reshape(-1, d).astype(np.float64))
+                at_vector = {x: i for i, x in enumerate(v)}
+                for i, x in enumerate(trials):
+                    if x in at_vector:
+                        score[i, at_vector[x]] = -np.inf  # met in any case
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                some = pa.array(np.repeat(np.arange(len(q)), best.shape[1]), pa.int32())
+                yield pa.RecordBatch.from_arrays([some, pa.array(v, pa.binary()).take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel())], names=["trial", "v", "score"])
+
+    most = probes
+    if probes < trees << depth:
+        trials = list(distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(TRIALS).toPandas()["v"])
+        true_rows = table.select("v").mapInArrow(true, "trial int, v binary, score double").filter(F.col("score") > float("-inf"))
+        near = true_rows.withColumn("place", F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score"), "v"))).filter(F.col("place") <= k).select("trial", "v").toPandas()
+        if len(near):
+            of = {t: np.array([np.frombuffer(x, dtype=dtype) for x in g["v"]], dtype=np.float64) for t, g in near.groupby("trial")}
+            asked_by = np.array([np.frombuffer(trials[t], dtype=dtype) for t in of], dtype=np.float64)
+            most = max(probes, forest.value.needed(asked_by, list(of.values()), RECALL))
     index = table.select("entry", "v", "id").mapInArrow(placed, "tree int, leaf int, entry bigint, id bigint, v binary")
     walks = distinct.select("query", "v").mapInArrow(walked, "tree int, leaf int, query bigint, q binary")
     scored = index.groupBy("tree", "leaf").cogroup(walks.groupBy("tree", "leaf")).applyInPandas(met, "query bigint, entry bigint, score double")
     scored = scored.groupBy("query", "entry").agg(F.max("score").alias("score")).join(table.select("entry", "ids"), "entry")
-    # per query at most PROBES * (K + 1) rows are left
+    # per query at most K + 1 rows of each opened leaf are left
     best = scored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0]))).filter(F.col("place") <= k + 1)
     hits = best.select("query", "score", F.explode("ids").alias("id")).groupBy("query", "id").agg(F.max("score").alias("score"))
     answers = hits.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("away"), "id"))), 1, k + 1).alias("best"))

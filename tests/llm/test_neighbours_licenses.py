@@ -46,6 +46,26 @@ def test_recall(spark):
     assert hit >= 0.9 * 20 * len(want)
 
 
+def test_recall_holds_where_the_trees_have_many_more_leaves_than_are_opened_at_least(spark):
+    rows = rows_of(6000, 3)
+    got, want = found(spark, rows, trees=8, leaf=32, probes=8), brute(rows, 20)
+    hit = sum(len({x[1] for x in got[q]} & {i for _, i in want[q]}) for q in want)
+    assert hit >= 0.9 * 20 * len(want)
+
+
+def test_places_in_the_walk():
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(400, 8))
+    forest = neighbours.grown(x, 4, float(np.linalg.norm(x, axis=1).max()), 3)
+    first = []
+    for q in x[:20]:
+        order = np.argsort(forest.margins(forest.lifted(q[None], True)[0]), kind="stable")
+        walk = forest.probes(q[None], 48)[0]
+        assert [(i >> 4, i & 15) for i in order.tolist()] == walk
+        first.append(min(walk.index((t, leaf)) for t, leaf in enumerate(forest.leaves(q[None])[0].tolist())))
+    assert forest.needed(x[:20], [q[None] for q in x[:20]], 1.0) == max(first) + 1
+
+
 def test_few_and_none(spark):
     assert found(spark, []) == {} and found(spark, [(0, [1.0, 0.0])]) == {}
     assert [x[1] for x in found(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 1.0])])[0]] == [1, 2]
