@@ -1,9 +1,9 @@
 """Licence scanning by a positional index of rare tokens.
 
-The index holds, for each word of the templates, its postings: template and offset. For a
-file, its ANCHORS licence words of the highest inverse document frequency (over all
-documents) are looked up, and each of their places votes for the start of a template that
-its posting implies. Starts on which at least two different words agree (one, for a template
+The index holds, for each template, the offsets of its anchors: its words of the highest inverse
+document frequency (over all documents), so many that at every start where the share LEAST can
+be reached two of them at least stand in their place. In a file, each template whose mandatory
+words all occur is tried: every place of its anchors votes for the start that it implies. Starts on which at least two different words agree (one, for a template
 of one word) are verified: the mandatory phrases must stand there word by word, in reach of
 the template, and the share of the template's words that stand in their place must reach LEAST.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
-ANCHORS, LEAST, REACH = 12, 0.6, 3
+LEAST, REACH = 0.6, 3
 
 #: Base phrases and their labels (fixed values of the contract).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -62,17 +62,20 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Index:
-    """Postings of the templates' words, with the inverse document frequency of each."""
+    """Each template's anchors with their offsets, by the inverse document frequency of its words."""
 
     def __init__(self, templates, base: dict[str, str], frequency: dict[str, int], documents: int):
         self.templates = [(t.label, t.text.split(), [p.split() for p in t.required]) for t in templates]
         self.base = [(p.split(), label) for p, label in base.items()]
-        self.postings = defaultdict(list)
-        for i, (_, words, _) in enumerate(self.templates):
-            for offset, w in enumerate(words):
-                self.postings[w].append((i, offset))
-        self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) for w in self.postings}
-        self.wanted = set(self.postings) | {w for p, _ in self.base for w in p}
+        self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) for _, words, _ in self.templates for w in words}
+        self.anchors: list[dict[str, list[int]]] = []
+        for _, words, _ in self.templates:
+            # a misplaced word is one anchor less at most
+            misplaced = max((m for m in range(len(words)) if (len(words) - m) / len(words) >= LEAST), default=0)
+            rarest = sorted(set(words), key=lambda w: (-self.idf[w], w))[: misplaced + 2]
+            self.anchors.append({w: [i for i, x in enumerate(words) if x == w] for w in rarest})
+        self.mandatory = [{w for p in required for w in p} for _, _, required in self.templates]
+        self.wanted = set(self.idf) | {w for m in self.mandatory for w in m} | {w for p, _ in self.base for w in p}
 
     def places(self, words: list[str]) -> dict[str, list[int]]:
         found = defaultdict(list)
@@ -89,11 +92,11 @@ class Index:
         for k, (phrase, _) in enumerate(self.base):
             rarest = min(range(len(phrase)), key=lambda i: len(at.get(phrase[i], ())))
             starts |= {(p - rarest, k) for p in at.get(phrase[rarest], ()) if p >= rarest and words[p - rarest : p - rarest + len(phrase)] == phrase}
-        anchors = sorted((w for w in at if w in self.postings), key=lambda w: (-self.idf[w], w))[:ANCHORS]
         votes: Counter = Counter()
-        for w in anchors:
-            agreed = {(t, p - offset) for t, offset in self.postings[w] for p in at[w]}
-            votes.update(agreed)  # one vote a word
+        for t, anchors in enumerate(self.anchors):
+            if self.mandatory[t] <= at.keys():
+                for w, offsets in anchors.items():
+                    votes.update({(t, p - offset) for offset in offsets for p in at.get(w, ())})  # one vote a word
         labels, best = set(), 0.0
         for (t, start), n in votes.items():
             label, template, required = self.templates[t]

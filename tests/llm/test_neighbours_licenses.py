@@ -89,3 +89,24 @@ def test_licenses(spark):
         assert r.base_labels == ",".join(sorted({licenses.BASE[p] for _, p in places})) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert got[1].labels == "cc-by,cc-by-nc-4.0" and got[2].labels == "gpl,gpl-3.0" and got[7].labels == "mit" and got[8].labels == ""
     assert licenses.scanned(df.limit(0)).count() == 0
+
+
+def test_all_notices_of_a_file_are_found():
+    texts = [t.text for t in licenses.TEMPLATES]
+    common = {w: 900 - i for i, w in enumerate("the of and to is any this in version 2 0 4 license under licensed work".split())}
+    index = licenses.Index(licenses.TEMPLATES, licenses.BASE, common, 1000)
+    for k in range(1, len(texts) + 1):
+        for at in range(len(texts)):
+            some = [(at + i) % len(texts) for i in range(k)]
+            labels = index.scan(licenses.words_of(" filler words that mean nothing here at all ".join(texts[i] for i in some)))[4]
+            assert {licenses.TEMPLATES[i].label for i in some} <= labels
+
+
+def test_every_start_with_enough_words_in_place_is_found():
+    draw, index = np.random.default_rng(6), licenses.Index(licenses.TEMPLATES, licenses.BASE, {}, 10)
+    for label, words, required in index.templates:
+        fixed = {i for p in required for i in range(len(words)) for j in range(len(p)) if words[i - j : i - j + len(p)] == p and i >= j}
+        for _ in range(50):
+            free = draw.permutation([i for i in range(len(words)) if i not in fixed])
+            gone = set(free[: int(len(words) * (1 - licenses.LEAST) + 1e-9)].tolist())
+            assert label in index.scan(["x", *("zz" if i in gone else w for i, w in enumerate(words))])[4]
