@@ -18,7 +18,7 @@ LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in an identifiable language; those without a letter and ambiguous ones go."""
+    """Keeps documents in a learned language; those without a letter, in no learned language or ambiguous with a low score go."""
     found = langid.identified(docs)
     sure = (F.col("_language.lang_pred") != langid.UNDETERMINED) & ~(F.col("_language.ambiguous") & (F.col("_language.score") < LEAST_SCORE))
     return found.filter(sure).drop("_language")

@@ -10,9 +10,10 @@ flagged as ambiguous if the runner-up is near or too many bits disagree.
 
 What reaches the driver are the summed counts: at most CELLS numbers for each language.
 
-A null text, or one without a letter, is `und` with score 0, as every text is if no
-language was learned. With one language learned, it is every other text's. Ties go to the
-language that sorts first.
+A text is in no learned language if even the language that fits best makes its trigrams less likely
+than if all cells were equally so. Such a text, a null one and one without a letter are
+`und` with score 0, as every text is if no language was learned. Ties go to the language that
+sorts first.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 CELLS = 1 << 15
 SMOOTHING = 0.5
+FLOOR = 0.01  # of a language's trigrams, spread over all cells, where the fit of a text is measured
 #: How many times a text's mean log-odds counts, as if so many trigrams were independent evidence.
 EVIDENCE = 20.0
 AMBIGUOUS_SCORE = 0.6
@@ -71,13 +73,21 @@ class Model:
     code: np.ndarray  # languages x bits
     odds: np.ndarray  # cells x bits
     weight: np.ndarray  # bits
+    fit: np.ndarray  # cells x languages: the log of how much likelier a cell is than if all were equally so
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         known = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         langs, scores, flags = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
         for at in range(0, len(known), 64):
-            part = known[at : at + 64]
-            margins = np.array([self.odds[cells(folded(texts[i]))].mean(axis=0) for i in part]).reshape(len(part), -1)
+            part, margins = [], []
+            for i in known[at : at + 64]:
+                of = cells(folded(texts[i]))
+                if self.fit[of].mean(axis=0, dtype=np.float64).max() >= 0:
+                    part.append(i)
+                    margins.append(self.odds[of].mean(axis=0))
+            if not part:
+                continue
+            margins = np.array(margins).reshape(len(part), -1)
             loss = np.logaddexp(0, -EVIDENCE * self.code[None] * margins[:, None, :]) @ self.weight
             p = np.exp(loss.min(axis=1, keepdims=True) - loss)
             p /= p.sum(axis=1, keepdims=True)
@@ -120,10 +130,13 @@ def learned(labelled: DataFrame) -> Model:
     """A model of the languages in labelled (lang, text); rows without a language or a letter teach nothing."""
     counts = counted(labelled.filter(F.col("lang").isNotNull())).toPandas()
     languages = sorted(counts["lang"].unique())
-    p = np.full((max(len(languages), 1), CELLS), SMOOTHING)
+    p = np.zeros((max(len(languages), 1), CELLS))
     for i, lang in enumerate(languages):
         of = counts[counts["lang"] == lang]
         p[i, of["cell"].to_numpy()] += of["n"].to_numpy()
+    total = np.maximum(p.sum(axis=1, keepdims=True), 1)
+    fit = np.log((p * CELLS / total + FLOOR) / (1 + FLOOR)).T.astype(np.float32)
+    p += SMOOTHING
     p /= p.sum(axis=1, keepdims=True)
     code = codewords(len(languages)) if languages else np.zeros((0, 0), dtype=np.int8)
     odds, weight = np.zeros((CELLS, code.shape[1]), dtype=np.float32), np.zeros(code.shape[1])
@@ -133,7 +146,7 @@ def learned(labelled: DataFrame) -> Model:
         weight[b] = ((one - two) * odds[:, b]).sum()
     if weight.sum() > 0:
         weight *= len(weight) / weight.sum()
-    return Model(list(languages), code, odds, weight)
+    return Model(list(languages), code, odds, weight, fit)
 
 
 def predictor(spark, model: Model):
