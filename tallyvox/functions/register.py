@@ -10,13 +10,14 @@ from tallyvox.functions import phonetic
 from tallyvox.functions.plain import normalised
 from tallyvox.operators.slots import Extractor
 from tallyvox.settings import Settings
+from tallyvox.shipping import Sent
 
 
 def register(spark: SparkSession, settings: Settings | None = None) -> None:
     """Register all of them in a session; they take normalised texts, but for normalize_text."""
     settings = settings or Settings()
-    encoder = spark.sparkContext.broadcast(phonetic.encoder_for(spark))
-    extractor = spark.sparkContext.broadcast(Extractor(normalised, settings.assets))
+    encoder = Sent(spark, phonetic.encoder_for(spark))
+    extractor = Sent(spark, Extractor(normalised, settings.assets))
 
     @F.pandas_udf("array<string>")
     def encode(texts: pd.Series) -> pd.Series:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyvox.functions.phonetic import Encoder, containment, similarity
 from tallyvox.operators.slots import Extractor, Slot
 from tallyvox.settings import Settings
+from tallyvox.shipping import Sent
 
 WEAK = "匹配证据偏弱，未发现必要槽位矛盾"
 OUTCOMES = "array<struct<name: string, value: string, outcome: string, score: double, required: boolean, weight: double, heard: string>>"
@@ -93,7 +94,7 @@ class Matcher:
 
 def scored_pairs(pairs: DataFrame, matcher: Matcher, item: str = "norm", utterance: str = "heard") -> DataFrame:
     """pairs with a struct `match`; each distinct pair of texts is scored once."""
-    sent = pairs.sparkSession.sparkContext.broadcast(matcher)  # word lists, the syllable table and settings: a fixed size
+    sent = Sent(pairs.sparkSession, matcher)  # word lists, the syllable table and settings: a fixed size
 
     @F.pandas_udf(MATCH)
     def score(items: pd.Series, said: pd.Series) -> pd.DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvox import settings as S
+from tallyvox.shipping import Sent
 
 SLOTS = "array<struct<name: string, value: string, grp: string, start: int, end: int>>"
 Slot = tuple[str, str, str | None, int, int]
@@ -94,7 +95,7 @@ class Extractor:
 
 def with_slots(texts: DataFrame, extractor: Extractor, column: str = "norm", to: str = "slots") -> DataFrame:
     """texts with the slots of a column of normalised text; one Arrow pass, each distinct text of a batch once. Null has no slots."""
-    sent = texts.sparkSession.sparkContext.broadcast(extractor)  # word lists only
+    sent = Sent(texts.sparkSession, extractor)  # word lists only
 
     @F.pandas_udf(SLOTS)
     def extract(norm: pd.Series) -> pd.Series:
