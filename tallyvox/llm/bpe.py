@@ -23,7 +23,6 @@ import re
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 from tallyvox.llm.tables import kept
 
@@ -36,7 +35,6 @@ UNEVEN = ["  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d"
 KNOWN_FRAGMENTS = 250_000
 
 
-@lru_cache(maxsize=1)
 def byte_letters() -> dict[str, int]:
     """The printable stand-ins of the 256 bytes in vocabulary files of this format."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

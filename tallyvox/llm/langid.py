@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyvox.shipping import Sent
+
 CELLS = 1 << 15
 SMOOTHING = 0.5
 FLOOR = 0.01  # of a language's trigrams, spread over all cells, where the fit of a text is measured
@@ -151,7 +153,7 @@ def learned(labelled: DataFrame) -> Model:
 
 def predictor(spark, model: Model):
     """A column function: text to struct<lang_pred, score, ambiguous>. The model is broadcast; its size is set by CELLS and the languages."""
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:

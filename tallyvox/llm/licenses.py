@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyvox.shipping import Sent
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 LEAST, REACH = 0.6, 3
@@ -134,7 +136,7 @@ def frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int],
 def scanned(docs: DataFrame, templates=TEMPLATES, base: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per row of docs."""
     base = BASE if base is None else base
-    index = docs.sparkSession.sparkContext.broadcast(Index(templates, base, *frequencies(docs, {w for t in templates for w in t.text.split()})))
+    index = Sent(docs.sparkSession, Index(templates, base, *frequencies(docs, {w for t in templates for w in t.text.split()})))
     schema = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
 
     def scan(batches: Iterator) -> Iterator:

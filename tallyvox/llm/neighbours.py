@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvox.llm.tables import written
+from tallyvox.shipping import Sent
 
 K, TREES, LEAF, PROBES = 20, 16, 256, 160
 SAMPLE = 65_536  # rows that trees are grown on, at most about so many
@@ -176,7 +177,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
 
     reach = table.select("v").mapInArrow(lengths, "length double").agg(F.max("length")).first()[0]
     depth = max(0, min(int(np.ceil(np.log2(max(n / leaf, 1)))), int(np.log2(max(len(x) / LEAST_IN_LEAF, 1)))))
-    forest = spark.sparkContext.broadcast(grown(x, depth, reach, trees))
+    forest = Sent(spark, grown(x, depth, reach, trees))
 
     def placed(batches: Iterator) -> Iterator:
         import pyarrow as pa
