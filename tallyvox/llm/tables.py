@@ -11,8 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only up to this many rows of a few dozen bytes; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only up to this many rows and bytes; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,15 +40,18 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def matched(left: DataFrame, small: DataFrame, on: Sequence[str], how: str, rows: int | None = None) -> DataFrame:
-    """left joined with small (a written table) in the given way.
+def is_slim(small: DataFrame, rows: int | None = None) -> bool:
+    """Whether a written table is proven to be within BROADCAST_ROWS and BROADCAST_BYTES; bytes are counted where a column has no fixed width."""
+    rows = small.count() if rows is None else rows
+    loose = [f.name for f in small.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    if rows > BROADCAST_ROWS or not loose:
+        return rows <= BROADCAST_ROWS
+    return (small.agg(F.sum(F.octet_length(F.to_json(F.struct(*loose))))).first()[0] or 0) <= BROADCAST_BYTES
 
-    small is broadcast only if it is proven to have at most BROADCAST_ROWS rows,
-    else both sides are shuffled by the keys.
-    """
-    if rows is None:
-        rows = small.count()
-    return left.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, list(on), how)
+
+def matched(left: DataFrame, small: DataFrame, on: Sequence[str], how: str, rows: int | None = None) -> DataFrame:
+    """left joined with small (a written table) in the given way: small is broadcast only if it is proven slim, else both sides are shuffled by the keys."""
+    return left.join(F.broadcast(small) if is_slim(small, rows) else small, list(on), how)
 
 
 def kept(kind: str, key: object, make: Callable[[], object]) -> object:

@@ -1,7 +1,13 @@
 """URL verdicts and tool-call linking."""
 
+import itertools
 import json
+import math
+import random
 import re
+from collections import Counter, defaultdict
+
+import pytest
 
 from tallyvox.llm import queries, tools, urls
 
@@ -39,6 +45,55 @@ def test_mined_rules_are_pruned(spark):
     assert got == {(("a",), "block"), (("b",), "block"), (("c",), "allow")}
 
 
+def brute_rules(rows, support, confidence, lift):
+    """All rules of any length by counting, over one token for each set of tokens that always stand together; then pruned."""
+    rows = [(frozenset(t), v) for t, v in rows]
+    least, where = max(1, math.ceil(support * len(rows) - 1e-9)), defaultdict(set)
+    for i, (t, _) in enumerate(rows):
+        for x in t:
+            where[x].add(i)
+    says = sorted({v for _, v in rows})
+    mixed = {x for x, at in where.items() if len({rows[i][1] for i in at}) > 1 and max(Counter(rows[i][1] for i in at).values()) >= least}
+    leaders = {min(y for y in mixed if where[y] == where[x]) for x in mixed}
+    rules = {}
+    for size in range(1, len(leaders) + 2):
+        for some in itertools.combinations(sorted(where if size == 1 else leaders), size):
+            at = set.intersection(*(where[x] for x in some))
+            for v in says:
+                n = sum(rows[i][1] == v for i in at)
+                sure = n / len(at) if at else 0
+                if n >= least and sure >= confidence and sure / (sum(w == v for _, w in rows) / len(rows)) >= lift:
+                    rules[some, v] = sure
+    return {(a, v): c for (a, v), c in rules.items() if not any(set(x) < set(a) and w == v and d >= c for (x, w), d in rules.items())}
+
+
+@pytest.mark.parametrize("seed, wide", [(1, 10), (2, 10), (3, 10), (4, 4)])
+def test_mined_rules_equal_brute_force(spark, seed, wide):
+    draw = random.Random(seed)
+    rows = []
+    for _ in range(120):
+        t = [x for x in "abcdefg" if draw.random() < 0.5]
+        verdict = "block" if {"a", "b"} <= set(t) or ({"c", "d", "e"} <= set(t) and "f" not in t) else draw.choice(["allow"] * 9 + ["block"])
+        rows.append((t + ["a2"] * ("a" in t), verdict))
+    got = urls.mined(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.03, 0.8, 1.2, wide).collect()
+    want = brute_rules(rows, 0.03, 0.8, 1.2)
+    found = {(tuple(r.antecedent), r.says): r for r in got}
+    if wide < 7:  # all pairs; of the longer ones those within two groups
+        assert {k for k in want if len(k[0]) < 3} == {k for k in found if len(k[0]) < 3}
+    else:
+        assert found.keys() == want.keys() and any(len(a) > 1 for a, _ in want)
+        assert {k: r.confidence for k, r in found.items()} == pytest.approx(want)
+    assert all(["a", "a2"] in r.members for r in got if "a" in r.antecedent and len(r.antecedent) > 1)
+
+
+def test_urls_with_many_tokens_are_mined_in_bounded_work(spark):
+    keys = "&".join(f"k{i}=1" for i in range(25))
+    rows = [(i, f"http://{'x.example.com/en' if i % 2 else 'y.com/de'}/{i}?{keys}") for i in range(50)] + [(50 + i, f"http://y.com/fr/{i}") for i in range(50)]
+    rows += [(100, f"http://z.org/?{keys}"), (101, "http://x.org/"), (102, "http://z.org/" + "/".join(f"d{i}" for i in range(20_000)))]
+    got = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert len(got) == 103 and got[101].verdict == "block" and got[102].verdict == "allow"
+
+
 CALL = "conv_id bigint, turn bigint, call_id string, tool string, arguments string, after array<string>"
 RESULT = "conv_id bigint, turn bigint, call_id string, content string"
 
