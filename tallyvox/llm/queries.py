@@ -21,18 +21,21 @@ def op1_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH m AS (SELECT conv_id, turn, role, text, conv_id || '-' || CASE role WHEN 'user' THEN turn ELSE turn - 1 END AS call_id FROM conversations WHERE role IN ('user', 'assistant')),
-c AS (SELECT call_id, any_value(conv_id) AS conv_id, any_value(turn) AS turn, min('{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"chars":' || coalesce(length(text), 0) || '}') AS raw, arg_min(text, '{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"chars":' || coalesce(length(text), 0) || '}') AS text, count(*) AS n FROM m WHERE role = 'user' AND call_id IS NOT NULL GROUP BY call_id),
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, conv_id || '-' || CASE role WHEN 'user' THEN turn ELSE turn - 1 END AS call_id FROM conversations WHERE role IN ('user', 'assistant')),
+c AS (SELECT call_id, any_value(conv_id) AS conv_id, any_value(turn) AS turn, arg_min(text, '{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"c') AS text, count(*) AS n FROM m WHERE role = 'user' AND call_id IS NOT NULL GROUP BY call_id),
 r AS (SELECT call_id, any_value(conv_id) AS conv_id, any_value(turn) AS turn, min(text) AS content, count(*) AS n FROM m WHERE role = 'assistant' AND call_id IS NOT NULL GROUP BY call_id),
+o AS (SELECT call_id, conv_id, turn, 0 AS level FROM c ANTI JOIN c AS b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2
+      UNION ALL SELECT c.call_id, c.conv_id, c.turn, o.level + 1 FROM o JOIN c ON c.conv_id = o.conv_id AND c.turn = o.turn + 2),
 j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, c.turn AS turn, call_id, r.turn AS result_turn,
        CASE WHEN c.n IS NULL THEN 'no_call' WHEN r.n IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-       c.turn AS level, CASE WHEN c.n IS NOT NULL THEN false END AS cyclic,
+       o.level AS level, CASE WHEN c.n IS NOT NULL THEN false END AS cyclic,
        CASE WHEN c.n IS NOT NULL THEN c.text IS NOT NULL END AS valid,
        CASE WHEN c.n IS NOT NULL THEN CASE WHEN c.text IS NULL THEN 'missing text' ELSE '' END END AS problems,
        coalesce(c.n, 0) + coalesce(r.n, 0) AS copies,
-       '{"arguments":' || CASE WHEN c.n IS NULL THEN 'null' ELSE '{"chars":' || coalesce(length(c.text), 0) || ',"text":' || coalesce(to_json(c.text)::VARCHAR, 'null') || '}' END
-       || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || CASE WHEN c.n IS NULL THEN 'null' ELSE '"ask"' END || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
-  FROM c FULL JOIN r USING (call_id))
+       '{"arguments":' || CASE WHEN c.n IS NULL THEN 'null' ELSE '{' || CASE WHEN c.turn < 2 THEN '' ELSE '"after":"' || c.conv_id || '-' || (c.turn - 2) || '",' END || '"chars":' || coalesce(length(c.text), 0)
+         || ',"place":{"conv":' || c.conv_id || ',"turn":' || c.turn || '},"text":' || coalesce(to_json(c.text)::VARCHAR, 'null') || '}' END
+       || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || CASE WHEN c.n IS NULL THEN 'null' WHEN c.turn < 2 THEN '"ask"' ELSE '"follow_up"' END || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
+  FROM c FULL JOIN r USING (call_id) LEFT JOIN o USING (call_id))
 SELECT * FROM j
 UNION ALL
 SELECT conv_id, CASE role WHEN 'user' THEN turn END, NULL, CASE role WHEN 'assistant' THEN turn END, 'no_id', NULL, NULL, NULL, NULL, 1, NULL FROM m WHERE call_id IS NULL

@@ -96,6 +96,7 @@ def test_urls_with_many_tokens_are_mined_in_bounded_work(spark):
 
 CALL = "conv_id bigint, turn bigint, call_id string, tool string, arguments string, after array<string>"
 RESULT = "conv_id bigint, turn bigint, call_id string, content string"
+PLAIN = (("ask", "chars", "integer", True), ("ask", "text", "string", True))
 
 
 def test_calls(spark):
@@ -104,19 +105,73 @@ def test_calls(spark):
         (1, 6, "d", "ask", "[1]", None), (2, 0, None, "ask", "{}", []),
     ]
     results = [(1, 1, "a", "yes\n"), (1, 1, "a", "zzz"), (1, 9, "q", None), (None, None, None, "lost")]
-    got = tools.linked(spark.createDataFrame(calls, CALL), spark.createDataFrame(results, RESULT), tools.schema_table(spark)).collect()
+    got = tools.linked(spark.createDataFrame(calls, CALL), spark.createDataFrame(results, RESULT), tools.schema_table(spark, PLAIN)).collect()
     by = {r.call_id: r for r in got if r.call_id}
     assert len(got) == 7 and {k: r.status for k, r in by.items()} == {"a": "linked", "b": "no_result", "c": "no_result", "d": "no_result", "q": "no_call"}
     assert by["a"].valid and by["a"].copies == 3 and json.loads(by["a"].json) == {"arguments": {"chars": 3, "text": 'x"é\x01'}, "id": "a", "name": "ask", "result": "yes\n"}
     assert by["b"].problems == "missing text;mistyped chars;unknown more" and by["c"].problems == "unknown tool" and by["d"].problems == "no object"
-    assert [by[k].level for k in "abcd"] == [0, 2, 4, 6]
+    assert [by[k].level for k in "abcd"] == [0, 1, 2, 0]
     assert sorted(r.status for r in got if not r.call_id) == ["no_id", "no_id"]
 
 
-def test_topological_order(spark):
-    calls = [(1, 0, "a", "t", "{}", ["c"]), (1, 1, "b", "t", "{}", ["a"]), (1, 2, "c", "t", "{}", []), (2, 0, "x", "t", "{}", ["y"]), (2, 1, "y", "t", "{}", ["x"]), (2, 2, "z", "t", "{}", [])]
-    got = {r.call_id: r for r in tools.ordered(spark.createDataFrame(calls, CALL)).collect()}
-    assert got["c"].level < got["a"].level < got["b"].level and not any(got[k].cyclic for k in "abcz") and got["x"].cyclic and got["y"].cyclic
+def levels_of(calls):
+    """Longest chains by peeling, over (call_id, after) alone."""
+    after = {c: {x for x in a or [] if x in dict(calls)} for c, a in calls}
+    level = {}
+    while True:
+        new = {c: max((level[x] + 1 for x in a), default=0) for c, a in after.items() if c not in level and all(x in level for x in a)}
+        if not new:
+            return {c: (level.get(c), c not in level) for c in after}
+        level |= new
+
+
+def ordered(spark, calls):
+    return {r.call_id: (r.level, r.cyclic) for r in tools.ordered(spark.createDataFrame(calls, "call_id string, after array<string>")).collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_topological_order(spark, seed):
+    draw = random.Random(seed)
+    calls = [(f"r{i}", draw.sample([f"r{j}" for j in range(i)], min(i, draw.choice([0, 1, 1, 1, 2, 3])))) for i in range(60)]
+    calls += [("x", ["y"]), ("y", ["x"]), ("z", ["y"]), ("w", ["z", "r1"]), ("self", ["self"]), ("p", ["q", "r5"]), ("q", ["p", "r2"]), ("none", None), ("gone", ["nothing", None]), ("twice", ["r3", "r3"]), ("u", ["p"])]
+    calls += [(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(70)]
+    draw.shuffle(calls)
+    assert ordered(spark, calls) == levels_of(calls)
+
+
+def test_a_call_may_come_after_one_of_another_conversation(spark):
+    calls = [(1, 1, "a", "t", "{}", ["b"]), (2, 50, "b", "t", "{}", [])]
+    got = {r.call_id: r for r in tools.linked(spark.createDataFrame(calls, CALL), spark.createDataFrame([], RESULT), tools.schema_table(spark)).collect()}
+    assert (got["a"].level, got["a"].cyclic, got["b"].level, got["b"].cyclic) == (1, False, 0, False)
+
+
+SCHEMA = (("f", "n", "integer", True), ("f", "x", "number", False), ("f", "s", "string", False), ("f", "b", "boolean", False), ("f", "o", "object", False), ("f", "o.k", "integer", True), ("f", "l", "array", False), ("g", "q", "string", False))
+ARGUMENTS = [
+    ('{"n":5}', "missing o.k", '{"n":5}'),
+    ('{"n":"5","o":{"k":1}}', "mistyped n", '{"n":"5","o":{"k":1}}'),
+    ('{"o":{"k":2,"a":[1,{"z":1,"y":2.50}]},"n":1.0,"s":7}', "mistyped s", '{"n":1,"o":{"a":[1,{"y":2.5,"z":1}],"k":2},"s":7}'),
+    ('{"n":1,"x":1,"b":true,"l":[],"s":"é\\n","o":{"k":1}}', "", '{"b":true,"l":[],"n":1,"o":{"k":1},"s":"é\\n","x":1}'),
+    ('{"n":1,"n":2}', "repeated n", None), ('{"n":1,"o":{"k":1,"k":2}}', "repeated key inside", None), ("[1]", "no object", None), ("x", "no object", None), (None, "no object", None), ("", "no object", None),
+    ('{"n":null,"o":{"k":1}}', "missing n", '{"n":null,"o":{"k":1}}'), ('{"n":1.5,"b":"true","l":{},"o":[1]}', "missing o.k;mistyped b;mistyped l;mistyped n;mistyped o", '{"b":"true","l":{},"n":1.5,"o":[1]}'),
+    ('{"n":1,"o":{"k":1},"z.y":0}', "unknown z.y", '{"n":1,"o":{"k":1},"z.y":0}'), ('{"n":1,"o":{"k":1},"s":"' + "x" * 300_000 + '"}', "", '{"n":1,"o":{"k":1},"s":"' + "x" * 300_000 + '"}'),
+]
+
+
+def test_types_nested_values_and_repeated_keys(spark):
+    calls = [(1, i, f"c{i}", "f", a, None) for i, (a, _, _) in enumerate(ARGUMENTS)] + [(1, 99, "g", "g", "{}", None)]
+    df = spark.createDataFrame(calls, CALL).selectExpr("*", "1 AS level", "'p' AS params", "2 AS n")
+    got = {r.call_id: r for r in tools.linked(df, spark.createDataFrame([], RESULT).selectExpr("*", "'z' AS json"), tools.schema_table(spark, SCHEMA)).collect()}
+    for i, (_, wrong, text) in enumerate(ARGUMENTS):
+        r = got[f"c{i}"]
+        assert (r.problems, r.valid) == (wrong, wrong == ""), ARGUMENTS[i]
+        assert r.json == f'{{"arguments":{text or "null"},"id":"c{i}","name":"f","result":null}}'
+    assert got["g"].valid and len(got) == len(calls)
+
+
+def test_no_calls(spark):
+    calls, results = spark.createDataFrame([], CALL), spark.createDataFrame([], RESULT)
+    assert tools.linked(calls, results, tools.schema_table(spark)).count() == 0
+    assert [r.status for r in tools.linked(calls, spark.createDataFrame([(1, 1, "a", "x")], RESULT), tools.schema_table(spark)).collect()] == ["no_call"]
 
 
 def test_conversations(spark, tmp_path):
