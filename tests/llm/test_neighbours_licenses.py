@@ -53,6 +53,15 @@ def test_recall_holds_where_the_trees_have_many_more_leaves_than_are_opened_at_l
     assert hit >= 0.9 * 20 * len(want)
 
 
+def test_exact_where_leaves_are_split_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ASKED", 20)
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.integers(-2, 3, 8).astype(np.float32).tolist()) for i in range(500)]  # many equal scores and equal vectors
+    rows += [(500 + i, [1.0] * 7 + [2.0]) for i in range(60)]
+    got, want = found(spark, rows, trees=2, leaf=128, probes=10_000, block=16), brute(rows, 20)
+    assert {q: [(i, s) for _, i, s in x] for q, x in got.items()} == {q: [(i, -s) for s, i in x] for q, x in want.items()}
+
+
 def test_places_in_the_walk():
     draw = np.random.default_rng(5)
     x = draw.normal(size=(400, 8))
