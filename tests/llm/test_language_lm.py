@@ -50,47 +50,101 @@ def test_codewords_differ(n):
     assert len({tuple(c) for c in code.tolist()}) == n and (np.abs(code.sum(axis=0, dtype=int)) < n).all()
 
 
-def brute(rows, prior=lm.PRIOR):
+def brute(rows):
+    """The automaton by dictionaries, token by token."""
     docs = [(i, (t or "").encode().lower().split() + ["END"]) for i, t in rows]
     out = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs]
     train = [w for (_, w), h in zip(docs, out) if not h]
-    c, b = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(["START", *w[:-1]], w))
-    n, v, starts = sum(c.values()), len(c), len(train)
+    n_grams = lambda w, k: [tuple((["START"] + w)[j : j + k]) for j in range(len(w) + 2 - k)]
+    count = {1: Counter(x for w in train for x in w), 2: Counter(g for w in train for g in n_grams(w, 2)), 3: Counter(g for w in train for g in n_grams(w, 3))}
+    n, v = sum(count[1].values()), len(count[1])
+    history = lambda g: (len(train) if g[0] == "START" else count[1][g[0]]) if len(g) == 2 else count[2][g[:2]]
+    seen, once = Counter(), Counter()
+    for k in (2, 3):
+        for w in train:
+            for g in n_grams(w, k):
+                c = int(lm.class_of(np.array([history(g)]))[0])
+                seen[k, c] += 1
+                once[k, c] += count[k][g] == 1
+    fail = lambda g: (once[len(g), int(lm.class_of(np.array([history(g)]))[0])] + 1) / (seen[len(g), int(lm.class_of(np.array([history(g)]))[0])] + 2)
+
+    def weight(g):
+        if len(g) == 1:
+            return (count[1][g[0]] + 1) / (n + v + 1)
+        return (1 - fail(g)) * count[len(g)][g] / history(g) + fail(g) * weight(g[1:]) if history(g) else weight(g[1:])
+
     rows = []
     for (i, w), h in zip(docs, out):
-        root = [(c[x] + 1) / (n + v + 1) for x in w]
-        base = sum(map(math.log10, root))
-        model = sum(math.log10((b[p] + prior * r) / ((starts if p[0] == "START" else c[p[0]]) + prior)) for p, r in zip(zip(["START", *w[:-1]], w), root))
-        rows.append((i, h, len(w), sum(c[x] > 0 for x in w), n, base, model))
-    return rows
+        base = sum(math.log10(weight((x,))) for x in w)
+        model = sum(math.log10(weight(tuple((["START"] + w)[max(0, j - 1) : j + 2]))) for j in range(len(w)))
+        rows.append((i, h, len(w), sum(count[1][x] > 0 for x in w), n, base, model))
+    return rows, weight, train
 
 
 def test_scores(spark, tmp_path):
     rows = [(i, t) for i, t, _ in corpus(["en", "de", "fr"])] + [(500, None), (501, ""), (502, "The THE the"), (502, "the"), (None, "of the"), (503, "é É " * 20_000)]
     got = queries.op9_lm(spark, write(spark, [(i, t, "en") for i, t in rows], tmp_path)).collect()
     key = lambda r: (str(r[0]), r[2], round(r[5], 6))
-    for a, b in zip(sorted(map(tuple, got), key=key), sorted(brute(rows), key=key), strict=True):
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(brute(rows)[0], key=key), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
 
 
 def test_scores_of_documents_that_are_no_files(spark):
     rows = [(1, "a b c a b"), (2, "a b"), (2, "a b")]
     got = lm.scored(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted(r.score for r in got) == pytest.approx(sorted(r[6] for r in brute(rows)))
+    assert sorted(r.score for r in got) == pytest.approx(sorted(r[6] for r in brute(rows)[0]))
     assert lm.scored(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_weights_out_of_a_state_sum_to_one():
-    hashes = {b"a": 11, b"b": 22}
-    texts = [np.array([11, 22, int(lm.END)], dtype=np.uint64)] * 3
-    codes, counts = lm.asked([lm.unigram_codes(t) for t in texts], [True] * 3)
-    pairs, seen = lm.asked([lm.bigram_codes(t) for t in texts], [True] * 3)
-    assert sorted(counts) == [3, 3, 3] and sorted(seen) == [3, 3, 3] and len(hashes) == 2
-    total = 0.0
-    for last in (11, 22, int(lm.END), 99):
-        t = np.array([11, last], dtype=np.uint64)
-        u, p = np.unique(np.concatenate([codes, lm.unigram_codes(t)])), np.unique(np.concatenate([pairs, lm.bigram_codes(t)]))
-        uc = np.array([dict(zip(codes.tolist(), counts)).get(x, 0) for x in u.tolist()])
-        pc = np.array([dict(zip(pairs.tolist(), seen)).get(x, 0) for x in p.tolist()])
-        total += 10 ** lm.Automaton(u, uc, p, pc, 9, 3, 3).walk(t)[1][1]
-    assert total == pytest.approx(1.0)
+def same(got, rows):
+    key = lambda r: (str(r[0]), r[2], round(r[5], 6))
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(brute(rows)[0], key=key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+
+
+def test_long_texts_are_split_and_carry_their_state(spark):
+    draw = np.random.default_rng(8)
+    text = lambda n: " ".join(draw.choice(WORDS["en"].split(), n))
+    rows = [(i, text(int(n))) for i, n in enumerate(draw.integers(1, 60, 40))] + [(100, text(3000)), (101, "\n\n" + "y" * 700 + "  " + text(900) + " " * 600), (102, " " * 900), (102, text(200)), (103, "  " * 400 + "of the")]
+    got = lm.scored(spark.createDataFrame(rows, "doc_id bigint, text string"), segment=256, block_bytes=4096).collect()
+    same(got, rows)
+
+
+def test_a_text_of_50_megabytes(spark):
+    rows = [(1, "of the and " * 20), (2, "the of " * 7_500_000), (3, None)]
+    got = {r.doc_id: r for r in lm.scored(spark.createDataFrame([(1, rows[0][1], 1), (2, "the of ", 7_500_000), (3, None, 1)], "doc_id bigint, text string, n int").selectExpr("doc_id", "repeat(text, n) AS text")).collect()}
+    assert got[2].n_tokens == 15_000_001 and got[1].n_tokens == 61 and got[3].n_tokens == 1 and got[2].n_known == 15_000_001
+    assert got[2].score > got[2].base_score
+
+
+def test_weights_out_of_every_state_sum_to_one():
+    rows = [(i, t) for i, t, _ in corpus(["en"])][:12] + [(50, "x of of the"), (51, "")]
+    _, weight, train = brute(rows)
+    words = sorted({x for w in train for x in w if x != "END"}) + ["END", "never seen"]
+    for h in [(), ("START",), *((x,) for x in words if x != "END"), *{tuple((["START"] + w)[j : j + 2]) for w in train for j in range(len(w) - 1)}]:
+        assert sum(weight((*h, x)) for x in words) == pytest.approx(1.0)
+
+
+def test_packed_numbers():
+    draw = np.random.default_rng(9)
+    for n in (0, 1, 5, 3000):
+        code = np.unique(draw.integers(0, 1 << 56, n, dtype=np.uint64))
+        assert (lm.unpacked_codes(lm.packed_codes(code)) == code).all() and (lm.spread_out(lm.squeezed(code)) == code).all()
+    for size in (1, 2, 3, 100):
+        parts = lm.split(b"  ab cd  e\n", size)
+        assert b"".join(parts) == b"  ab cd  e\n" and b" ".join(parts).split() == b"  ab cd  e".split()
+
+
+def test_held_out_texts_are_likelier_than_by_single_words(spark):
+    draw = np.random.default_rng(10)
+    words = WORDS["en"].split() + WORDS["de"].split()
+    follow = {w: draw.choice(words, 3) for w in words}
+
+    def text():
+        out = [draw.choice(words)]
+        while len(out) < 40:
+            out.append(draw.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    got = [r for r in lm.scored(spark.createDataFrame([(i, text()) for i in range(300)], "doc_id bigint, text string")).collect() if r.held_out]
+    assert len(got) > 20 and sum(r.score > r.base_score for r in got) > 0.9 * len(got)
