@@ -18,7 +18,7 @@ there only, so the share that would fail if its own occurrence were left out. Co
 The automaton grows with the corpus, so no machine holds it. Documents stand in blocks of
 neighbouring rows, of about BLOCK_BYTES; texts over SEGMENT_BYTES are split between words beforehand, and a segment
 carries the state it begins in, its two tokens before. A block asks for the counts of its distinct words (63-bit hashes), bigrams and
-trigrams (56-bit hashes, so at 10^13 different n-grams one in some 7,000 shares its count with another): sorted, as differences,
+trigrams (hashes of so many bits more than the corpus has n-grams that, at any size, one n-gram in about 10,000 shares its count with another): sorted, as differences,
 dealt to buckets by their high bits, so a frequent word costs one hash for each block and no
 bucket is hot. A bucket sums what the blocks bring and sends each block the totals in the order asked.
 The texts are then dealt once by block; each block finds the counts along its texts' ways through the automaton, which are
@@ -42,13 +42,13 @@ from tallyvox.llm.minhash import kept_hashes, mixed
 from tallyvox.llm.tables import new_path, written
 
 U = np.uint64
-BLOCK_BYTES, SEGMENT_BYTES = 4 << 20, 32 << 10
-BUCKET_BYTES = 4 << 20  # of text behind one bucket
+BLOCK_BYTES, SEGMENT_BYTES = 2 << 20, 32 << 10
+BUCKET_BYTES = 6 << 20  # of text behind one bucket
 END, START = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 LEFT, RIGHT, FAR = U(0xFF51AFD7ED558CCD), U(0x9DDFEA08EB382D69), U(0xD6E8FEB86659FD93)
 KNOWN_WORDS = 250_000
 CLASSES = 96  # of counts of histories
-BITS = {1: 63, 2: 56}  # of the hashes of words, and of longer n-grams
+WORD_BITS, LEAST_BITS, SPARE_BITS = 63, 40, 12  # of hashes
 WAYS = "doc_id bigint, held_out boolean, file bigint, at bigint, whole boolean, tokens bigint, counts binary, stats binary"
 SCORES = "doc_id bigint, held_out boolean, file bigint, at bigint, whole boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
@@ -67,7 +67,7 @@ class Grams:
     texts: (words, words before that a segment begins after, whether the text's end follows).
     """
 
-    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray, bool]]):
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray, bool]], bits: int):
         end = np.array([END], dtype=np.uint64)
         parts = [x for words, before, last in texts for x in ((before, words, end) if last else (before, words))]
         t = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
@@ -86,7 +86,7 @@ class Grams:
         self.at_start[filled] = True
         self.words = mixed(t * LEFT) >> U(1)
         pair = one * LEFT + t * RIGHT
-        self.bigrams, self.trigrams = mixed(pair + U(1)) >> U(8), mixed(mixed(pair + U(3)) + two * FAR) >> U(8)
+        self.bigrams, self.trigrams = (mixed(x) >> U(64 - bits) for x in (pair + U(1), mixed(pair + U(3)) + two * FAR))
 
     def codes(self, kind: int) -> np.ndarray:
         return self.words if kind == 1 else np.concatenate([self.bigrams, self.trigrams])
@@ -229,7 +229,8 @@ def in_blocks(docs: DataFrame, segment: int = SEGMENT_BYTES, block_bytes: int =
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.count_if(is_long).alias("long"), F.count_if(~F.col("held_out")).alias("starts")).first()
     per_block = max(64, min(4096, block_bytes * max(size["rows"], 1) // max(size["bytes"] or 0, 1)))
     block = lambda rows_: F.xxhash64("file", F.floor(F.col("at") / rows_))
-    short = rows.filter(~is_long).select("doc_id", "text", "held_out", "file", "at", F.lit(None).cast("string").alias("before"), F.lit(True).alias("last"), block(per_block).alias("block"), F.col("at").alias("place"), F.lit(True).alias("whole"))
+    # a long text leaves an empty place, so that the rows of a block stay neighbours
+    short = rows.select("doc_id", F.when(~is_long, F.col("text")).alias("text"), "held_out", "file", "at", F.lit(None).cast("string").alias("before"), (~is_long).alias("last"), block(per_block).alias("block"), F.col("at").alias("place"), F.lit(True).alias("whole"))
     if not size["long"]:
         return short, size
 
@@ -258,29 +259,34 @@ ASKED = "block bigint, first bigint, last bigint, kind int, bucket int, codes bi
 TOLD = "block bigint, first bigint, last bigint, kind int, bucket int, totals binary, tokens bigint, types bigint"
 
 
-def edges_of(buckets: int, kind: int) -> np.ndarray:
+def bits_for(size: int) -> int:
+    """How many bits the hashes of bigrams and trigrams have in a corpus of so many bytes."""
+    return min(WORD_BITS, max(LEAST_BITS, size.bit_length() + SPARE_BITS))
+
+
+def edges_of(buckets: int, bits: int) -> np.ndarray:
     """Where the buckets after the first begin."""
-    return (np.arange(1, buckets, dtype=object) * (1 << BITS[kind]) // buckets).astype(np.uint64)
+    return (np.arange(1, buckets, dtype=object) * (1 << bits) // buckets).astype(np.uint64)
 
 
-def grams_of(texts: list, befores: list, lasts: list) -> Grams:
+def grams_of(texts: list, befores: list, lasts: list, bits: int) -> Grams:
     hashes = kept_hashes()
-    return Grams([(tokens(t, hashes), tokens(b, hashes), last) for t, b, last in zip(texts, befores, lasts)])
+    return Grams([(tokens(t, hashes), tokens(b, hashes), last) for t, b, last in zip(texts, befores, lasts)], bits)
 
 
-def requests(blocks: DataFrame, buckets: int) -> DataFrame:
+def requests(blocks: DataFrame, buckets: int, bits: int) -> DataFrame:
     """What each run of a block's rows within one task asks for; kind 1: words, kind 2: bigrams and trigrams."""
 
     def ask(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        edges = {kind: edges_of(buckets, kind) for kind in BITS}
+        edges = {kind: edges_of(buckets, b) for kind, b in ((1, WORD_BITS), (2, bits))}
 
         def told(block: int, rows: list) -> pa.RecordBatch:
             _, places, texts, befores, lasts, out = zip(*rows)
-            grams, first, last, pieces = grams_of(texts, befores, lasts), places[0], places[-1], []
+            grams, first, last, pieces = grams_of(texts, befores, lasts, bits), places[0], places[-1], []
             taught = grams.own & ~np.repeat(np.array(out), grams.ends - grams.begins)
-            for kind in BITS:
+            for kind in (1, 2):
                 code, count = asked(grams.codes(kind), taught if kind == 1 else np.tile(taught, 2))
                 at = np.concatenate([[0], np.searchsorted(code, edges[kind]), [len(code)]])
                 for b in range(buckets):
@@ -314,7 +320,7 @@ def answers(wanted: DataFrame) -> DataFrame:
 
         schema = pa.schema([(n, pa.int32() if n in ("kind", "bucket") else pa.binary() if n == "totals" else pa.int64()) for n in names])
         out = []
-        for kind in BITS:
+        for kind in (1, 2):
             own = table.filter(pa.compute.equal(table.column("kind"), kind))
             if not own.num_rows:
                 continue
@@ -336,7 +342,7 @@ def answers(wanted: DataFrame) -> DataFrame:
     return wanted.groupBy("bucket").applyInArrow(total, TOLD)
 
 
-def ways(blocks: DataFrame, told: DataFrame, starts: int) -> DataFrame:
+def ways(blocks: DataFrame, told: DataFrame, starts: int, bits: int) -> DataFrame:
     """The counts along each text's way (see WAYS), and rows with what a block's training tokens say about failure weights (doc_id and counts null)."""
     names = [x.split()[0] for x in WAYS.split(", ")]
 
@@ -352,18 +358,18 @@ def ways(blocks: DataFrame, told: DataFrame, starts: int) -> DataFrame:
             of.setdefault(r, []).append(blob)
         columns: list[list] = [[] for _ in names]
         stats = np.zeros((2, 2, CLASSES), dtype=np.int64)  # length of history, seen and once, class
-        for first, last in sorted({(f, t) for f, t, _ in run}):
-            a, b = int(np.searchsorted(places, first)), int(np.searchsorted(places, last, "right"))
+        for start, stop in sorted({(f, t) for f, t, _ in run}):
+            a, b = int(np.searchsorted(places, start)), int(np.searchsorted(places, stop, "right"))
             part = texts.slice(a, b - a)
-            grams = grams_of(*(part.column(c).to_pylist() for c in ("text", "before", "last")))
+            grams = grams_of(*(part.column(c).to_pylist() for c in ("text", "before", "last")), bits)
             n = len(grams.words)
             along = np.empty((3, n), dtype=np.int64)
-            for kind in BITS:
+            for kind in (1, 2):
                 _, place = np.unique(grams.codes(kind), return_inverse=True)
-                total = np.concatenate([spread_out(x) for x in of[first, last, kind]]).astype(np.int64)
+                total = np.concatenate([spread_out(x) for x in of[start, stop, kind]]).astype(np.int64)
                 along[0 if kind == 1 else slice(1, 3)] = total[place].reshape(-1, n)
             along[2, grams.at_start] = 0  # the start has no history of two
-            rows = zip(*(part.column(c).to_pylist() for c in ("doc_id", "held_out", "file", "at", "whole")))
+            rows = zip(*(part.column(c).to_pylist() for c in ("doc_id", "held_out", "file", "at", "whole", "last")))
             taught = grams.own & ~np.repeat(part.column("held_out").to_numpy(), grams.ends - grams.begins)
             seen = histories_of(along, starts, False)
             seen[0, grams.at_start], seen[1, grams.at_start] = starts, 0
@@ -372,7 +378,9 @@ def ways(blocks: DataFrame, told: DataFrame, starts: int) -> DataFrame:
                 classes = class_of(seen[length - 1][use])
                 stats[length - 1, 0] += np.bincount(classes, minlength=CLASSES)
                 stats[length - 1, 1] += np.bincount(classes[along[length][use] == 1], minlength=CLASSES)
-            for (doc, out, file, at, whole), x, y, k in zip(rows, grams.begins.tolist(), grams.ends.tolist(), grams.context.tolist()):
+            for (doc, out, file, at, whole, last), x, y, k in zip(rows, grams.begins.tolist(), grams.ends.tolist(), grams.context.tolist()):
+                if whole and not last:
+                    continue  # the place of a long text
                 blob = bytes([k]) + squeezed(along[:, x:y].ravel())
                 for column, value in zip(columns, (doc, out, file, at, whole, y - x - k, blob, None)):
                     column.append(value)
@@ -409,11 +417,12 @@ def scored(docs: DataFrame, segment: int = SEGMENT_BYTES, block_bytes: int = BLO
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row of docs."""
     spark = docs.sparkSession
     blocks, size = in_blocks(docs, segment, block_bytes)
-    buckets, starts = max(4, ((size["bytes"] or 0) + 16 * size["rows"]) // BUCKET_BYTES), int(size["starts"])
-    told = written(spark, answers(requests(blocks, buckets)), "counts")
+    volume, starts = (size["bytes"] or 0) + 16 * size["rows"], int(size["starts"])
+    buckets, bits = max(4, volume // BUCKET_BYTES), bits_for(volume)
+    told = written(spark, answers(requests(blocks, buckets, bits)), "counts")
     sums = told.filter("block is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n_tokens, n_types = int(sums[0]), int(sums[1])
-    found = written(spark, ways(blocks, told, starts), "ways")
+    found = written(spark, ways(blocks, told, starts, bits), "ways")
     fail = learned_weights(found)
 
     def score(batches: Iterator) -> Iterator:
