@@ -6,6 +6,8 @@ units, Arabic numerals, no punctuation, lower case. Null stays null, but for nor
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,12 +18,23 @@ MYRIADS = {"万": 10_000, "亿": 100_000_000}
 UNITS = (("千伏安", "kva"), ("千伏", "kv"), ("[kK][vV]", "kv"), ("兆瓦", "mw"), ("[mM][wW]", "mw"), ("千瓦", "kw"), ("安培", "a"), ("伏特", "v"))
 ROMAN = {"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5, "VI": 6, "VII": 7, "VIII": 8, "IX": 9, "X": 10}
 ROMAN_BEFORE = "段母号回组"
-SPACES = "\\t-\\r \\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PUNCTUATION = "，。、；：？！“”‘’（）《》〈〉【】〔〕…—～·,.;:?!\"'()\\[\\]{}<>/\\\\|`~@#$%^&*_+=\\-"
+LATIN_SPACES, WIDE_SPACES = "\\t-\\r \\x1c-\\x1f\\x85\\xa0", "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+WIDE_PUNCTUATION, LATIN_PUNCTUATION = "，。、；：？！“”‘’（）《》〈〉【】〔〕…—～", "·,.;:?!\"'()\\[\\]{}<>/\\\\|`~@#$%^&*_+=\\-"
+SPACES, PUNCTUATION = LATIN_SPACES + WIDE_SPACES, WIDE_PUNCTUATION + LATIN_PUNCTUATION
 KEYWORDS = "远方 就地 并列 解列 拉开 合上 电气 机械".split()
 NUMBER_ERROR, WORD_ERROR, OTHER_ERROR, NO_DIGITS = "数字", "方向/动作词", "其它用字差异", "无"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def only_where(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """change(text) for texts in which the pattern stands; others, which are most, cost one search."""
+    return once(text, lambda t: F.when(t.rlike(pattern), change(t)).otherwise(t))
+
+
 def half_width(text: Column) -> Column:
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     return F.translate(text, wide + "　", "".join(map(chr, range(0x21, 0x7F))) + " ")
@@ -68,15 +81,18 @@ def numerals_to_arabic(text: Column) -> Column:
         return F.when(part.rlike(f"^[{every}]"), F.when(placed, valued).otherwise(plain)).otherwise(part)
 
     parts = F.regexp_extract_all(text, F.lit(f"(?s)[{every}]+|[^{every}]+"), F.lit(0))
-    # most texts have no such characters but 0, which stays as it is
-    return F.when(text.rlike(f"[{every.replace('0', '')}]"), F.array_join(F.transform(parts, run), "")).otherwise(text)
+    return F.array_join(F.transform(parts, run), "")
 
 
 def normalise(text: Column) -> Column:
     """The common space of written and recognised texts. Units go before numerals, since some share characters."""
-    text = one_unit_spelling(half_width(F.coalesce(text, F.lit(""))))
-    text = numerals_to_arabic(roman_to_arabic(text))
-    return F.lower(F.regexp_replace(text, f"[{SPACES}{PUNCTUATION}]+", ""))
+    text = only_where(F.coalesce(text, F.lit("")), "[\uff01-\uff5e\u3000]", half_width)
+    text = only_where(text, "|".join(pattern for pattern, _ in UNITS), one_unit_spelling)
+    text = only_where(text, f"[Ⅰ-Ⅵⅰ-ⅵ]|[IVX][{ROMAN_BEFORE}]", roman_to_arabic)
+    text = only_where(text, "[○〇一-龥]", numerals_to_arabic)  # all such characters but 0, which stays as it is
+    # a class of Latin-1 characters alone is matched by one look-up a character
+    text = only_where(text, "[\u1680\u2000-\u206f\u3000-\u303f\uff00-\uff5f]", lambda t: F.regexp_replace(t, f"[{WIDE_SPACES}{WIDE_PUNCTUATION}]+", ""))
+    return F.lower(F.regexp_replace(text, f"[{LATIN_SPACES}{LATIN_PUNCTUATION}]+", ""))
 
 
 def without_tags(text: Column) -> Column:

@@ -6,7 +6,7 @@ state by ticket). Candidates are scored beforehand in parallel; the fold only ch
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
@@ -152,12 +152,12 @@ def prepared(utterances: DataFrame, items: DataFrame, matcher: Matcher) -> DataF
     return tickets.join(said, "ticket_id", "left").select("ticket_id", "items", "idx", "role", "text", "heard", "matches")
 
 
-def looked_up(row) -> Callable[[int], dict | None]:
-    found = {m["pos"]: m for m in (row["matches"] if row["matches"] is not None else [])}
+def looked_up(matches, heard: str | None) -> Callable[[int], dict | None]:
+    found = {m["pos"]: m for m in (matches if matches is not None else [])}
 
     def match_of(pos: int) -> dict | None:
         m = found.get(pos)
-        return m and {"score": float(m["score"]), "verdict": m["verdict"], "reasons": list(m["reasons"]), "conflicts": list(m["conflicts"]), "heard": row["heard"]}
+        return m and {"score": float(m["score"]), "verdict": m["verdict"], "reasons": list(m["reasons"]), "conflicts": list(m["conflicts"]), "heard": heard}
 
     return match_of
 
@@ -166,15 +166,21 @@ def started(items) -> Progress:
     return Progress([Record(int(i["seq"])) for i in sorted(items, key=lambda i: i["pos"])])
 
 
+def taken(progress: Progress, ticket: str, idx, role: str | None, text: str | None, heard: str | None, matches, settings: Settings) -> list[dict]:
+    """The event of one utterance; none for an idx that is missing or not above the last one seen."""
+    if idx is None or idx <= progress.last_idx:
+        return []
+    progress.last_idx = int(idx)
+    e = step(progress, text or "", role or "UNKNOWN", looked_up(matches, heard), settings)
+    return [{"ticket_id": ticket, "idx": int(idx), **e, "pointer": progress.pointer}]
+
+
 def folded(rows: pd.DataFrame, settings: Settings, progress: Progress | None = None) -> tuple[Progress, list[dict]]:
-    """Rows of one ticket in order of idx; an idx that isn't above the last one seen is dropped."""
+    """Rows of one ticket in order of idx."""
     progress, events = progress or started(rows["items"].iloc[0]), []
-    for _, row in rows.dropna(subset=["idx"]).sort_values("idx", kind="stable").iterrows():
-        if row["idx"] <= progress.last_idx:
-            continue
-        progress.last_idx = int(row["idx"])
-        e = step(progress, row["text"] or "", row["role"] or "UNKNOWN", looked_up(row), settings)
-        events.append({"ticket_id": row["ticket_id"], "idx": int(row["idx"]), **e, "pointer": progress.pointer})
+    rows = rows.dropna(subset=["idx"]).sort_values("idx", kind="stable")
+    for row in zip(*(rows[c].tolist() for c in ("ticket_id", "idx", "role", "text", "heard", "matches"))):
+        events += taken(progress, *row, settings)
     return progress, events
 
 
@@ -182,26 +188,49 @@ def frame(rows: list[dict], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schema.split(", ")], dtype=object)
 
 
-def aligned(rows: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The events of each ticket. rows: as prepared() gives them."""
-    settings = settings or Settings()
+def in_order(rows: DataFrame, schema: str, settings: Settings, each: Callable[[list[dict]], list[dict]], last: Callable[[str, Progress], list[dict]]) -> DataFrame:
+    """The fold over all tickets: each ticket's rows stream through one task in order of idx, so no ticket is held whole.
+
+    each turns the events of an utterance into rows, last a ticket's final progress.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return frame(folded(group, settings)[1], EVENTS)
+    kind = to_arrow_schema(StructType.fromDDL(schema))
 
-    return rows.groupBy("ticket_id").applyInPandas(run, EVENTS)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        ticket, progress = None, None
+        for batch in batches:
+            out: list[dict] = []
+            names, items = batch.column(0).to_pylist(), batch.column(1)
+            for i, row in enumerate(zip(names, *(batch.column(c).to_pylist() for c in range(2, 7)))):
+                if progress is None or row[0] != ticket:
+                    out += last(ticket, progress) if progress else []
+                    ticket, progress = row[0], started(items[i].as_py())
+                out += each(taken(progress, *row, settings))
+            yield pa.RecordBatch.from_pylist(out, kind)
+        if progress:
+            yield pa.RecordBatch.from_pylist(last(ticket, progress), kind)
+
+    ordered = rows.select("ticket_id", "items", "idx", "role", "text", "heard", "matches").repartition("ticket_id").sortWithinPartitions("ticket_id", "idx")
+    return ordered.mapInArrow(run, schema)
+
+
+def aligned(rows: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The events of each ticket. rows: as prepared() gives them."""
+    return in_order(rows, EVENTS, settings or Settings(), lambda events: events, lambda ticket, progress: [])
 
 
 def item_states(rows: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The final state of each item of each ticket."""
-    settings = settings or Settings()
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        progress, _ = folded(group, settings)
+    def last(ticket: str, progress: Progress) -> list[dict]:
         finished(progress)
-        return frame([{"ticket_id": group["ticket_id"].iloc[0], "pos": i, **asdict(r)} for i, r in enumerate(progress.records)], STATES)
+        return [{"ticket_id": ticket, "pos": i, **asdict(r)} for i, r in enumerate(progress.records)]
 
-    return rows.groupBy("ticket_id").applyInPandas(run, STATES)
+    return in_order(rows, STATES, settings or Settings(), lambda events: [], last)
 
 
 def state_counts(states: DataFrame) -> DataFrame:

@@ -107,8 +107,12 @@ def scored_pairs(pairs: DataFrame, matcher: Matcher, item: str = "norm", utteran
 
 
 def candidates(utterances: DataFrame, items: DataFrame) -> DataFrame:
-    """All items of an utterance's ticket; items of one ticket are few."""
-    return utterances.join(items, "ticket_id")
+    """All items of an utterance's ticket; items of one ticket are few.
+
+    Comparing texts costs far more than reading them, so the partitions are as many as configured and aren't merged by their bytes.
+    """
+    parts = int(utterances.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return utterances.repartition(parts, "ticket_id").join(items.repartition(parts, "ticket_id"), "ticket_id")
 
 
 def in_window(pairs: DataFrame, settings: Settings, pointer: str = "pointer", pos: str = "pos") -> DataFrame:
