@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyvox.llm import exact_dedup, langid, minhash, packing
 from tallyvox.llm.queries import packing_digest
-from tallyvox.llm.tables import written
+from tallyvox.llm.tables import free_name, written
 
 #: A document goes only if its language can't be told at all, or is ambiguous with less than this score.
 LEAST_SCORE = 0.4
@@ -19,9 +19,10 @@ LEAST_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language; those without a letter, in no learned language or ambiguous with a low score go."""
-    found = langid.identified(docs)
-    sure = (F.col("_language.lang_pred") != langid.UNDETERMINED) & ~(F.col("_language.ambiguous") & (F.col("_language.score") < LEAST_SCORE))
-    return found.filter(sure).drop("_language")
+    of = free_name(docs, "_language")
+    found = langid.identified(docs, to=of)
+    sure = (F.col(f"{of}.lang_pred") != langid.UNDETERMINED) & ~(F.col(f"{of}.ambiguous") & (F.col(f"{of}.score") < LEAST_SCORE))
+    return found.filter(sure).drop(of)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

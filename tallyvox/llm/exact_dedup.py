@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm.tables import matched, new_path, written
+from tallyvox.llm.tables import free_name, matched, new_path, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -118,13 +118,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     others = dropped.filter(~F.col("_dropped").eqNullSafe(F.col("_keep"))).select("_dropped", "_digest").distinct()
     repeats = dropped.filter(F.col("_dropped").eqNullSafe(F.col("_keep"))).select("_dropped", "_digest").distinct()
     n = dropped.count()
-    kept = docs.withColumn("_digest", digest(F.col("text"))).withColumn("_dropped", F.col("doc_id").cast("bigint"))
     # a null identifier is dropped only after another, and joins on null match nothing: a stand-in takes its place
-    key = F.struct(F.col("_dropped").isNull().alias("n"), F.coalesce("_dropped", F.lit(0)).alias("i"), F.col("_digest").alias("d"))
-    kept = kept.withColumn("_key", key)
-    kept = matched(kept, others.select(key.alias("_key")), ["_key"], "left_anti", n)
+    key_of = lambda doc, text: F.struct(doc.isNull().alias("n"), F.coalesce(doc, F.lit(0)).alias("i"), text.alias("d"))
+    name = free_name(docs, "_key")
+    named = lambda df: df.select(key_of(F.col("_dropped"), F.col("_digest")).alias(name))
+    kept = matched(docs.withColumn(name, key_of(F.col("doc_id").cast("bigint"), digest(F.col("text")))), named(others), [name], "left_anti", n)
     if not repeats.isEmpty():
-        again = repeats.select(key.alias("_key"))
-        once = matched(kept, again, ["_key"], "left_semi", n).dropDuplicates(["_key"])
-        kept = matched(kept, again, ["_key"], "left_anti", n).unionByName(once)
-    return kept.drop("_key", "_digest", "_dropped")
+        again = named(repeats)
+        once = matched(kept, again, [name], "left_semi", n).dropDuplicates([name])
+        kept = matched(kept, again, [name], "left_anti", n).unionByName(once)
+    return kept.drop(name)

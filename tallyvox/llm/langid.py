@@ -173,7 +173,7 @@ def trained_on(docs: DataFrame) -> Model:
     return learned(docs.filter(fold(docs, 4) != 2).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
 
 
-def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with a struct column _language: lang_pred, score, ambiguous."""
+def identified(docs: DataFrame, model: Model | None = None, to: str = "_language") -> DataFrame:
+    """docs with a struct column: lang_pred, score, ambiguous."""
     predict = predictor(docs.sparkSession, model or trained_on(docs))
-    return docs.withColumn("_language", predict(F.col("text").cast("string")))
+    return docs.withColumn(to, predict(F.col("text").cast("string")))

@@ -42,20 +42,41 @@ class Template:
     required: tuple[str, ...]
 
 
+#: Sentences of licence notices and texts (fixed values: wording of the published licences), with the phrases that must stand word by word.
 TEMPLATES = (
+    Template("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation", ("affero general public license",)),
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", ("except in compliance with the license",)),
+    Template("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("unless required by applicable law or agreed to in writing",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("source and binary forms", "are permitted")),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain",)),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", ("redistributions in binary form must reproduce",)),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    Template("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license",)),
     Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
+    Template("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("commons attribution 4 0",)),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
+    Template("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial 4 0",)),
     Template("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", ("cc by nc sa 4 0",)),
+    Template("cc-by-nc-sa-4.0", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ("attribution noncommercial sharealike 4 0",)),
     Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
+    Template("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", ("attribution sharealike 4 0",)),
     Template("cc0-1.0", "cc0 1 0 universal public domain dedication", ("cc0 1 0",)),
+    Template("cc0-1.0", "waived all copyright and related or neighboring rights to this work", ("related or neighboring rights",)),
+    Template("epl-2.0", "made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
     Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("general public license version 2",)),
+    Template("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "either version 2 of the license")),
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("general public license version 3",)),
+    Template("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "either version 3 of the license")),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee is hereby granted",)),
     Template("lgpl", "this work is licensed under the gnu lesser general public license", ("lesser general public license",)),
+    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("lesser general public license",)),
     Template("mit", "released under the mit license", ("mit license",)),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("hereby granted free of charge", "any person obtaining a copy")),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("copies or substantial portions of the software",)),
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    Template("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", ("authors be held liable for any damages",)),
 )
 
 
@@ -77,28 +98,29 @@ class Index:
             rarest = sorted(set(words), key=lambda w: (-self.idf[w], w))[: misplaced + 2]
             self.anchors.append({w: [i for i, x in enumerate(words) if x == w] for w in rarest})
         self.mandatory = [{w for p in required for w in p} for _, _, required in self.templates]
-        self.wanted = set(self.idf) | {w for m in self.mandatory for w in m} | {w for p, _ in self.base for w in p}
-
-    def places(self, words: list[str]) -> dict[str, list[int]]:
-        found = defaultdict(list)
-        if not self.wanted.isdisjoint(words):
-            for i, w in enumerate(words):
-                if w in self.wanted:
-                    found[w].append(i)
-        return found
+        self.wanted = {w for m in self.mandatory for w in m} | {w for p, _ in self.base for w in p}
 
     def scan(self, words: list[str]) -> tuple[int, int | None, int | None, set[str], set[str], float]:
         """Base places (count, first, last), base labels, the templates' labels, the best share."""
-        at = self.places(words)
+        there = self.wanted.intersection(words)
+        phrases = [k for k, (phrase, _) in enumerate(self.base) if there.issuperset(phrase)]
+        tried = [t for t, words_ in enumerate(self.mandatory) if words_ <= there]
+        if not phrases and not tried:
+            return 0, None, None, set(), set(), 0.0
+        needed = {w for k in phrases for w in self.base[k][0]} | {w for t in tried for w in self.anchors[t]}
+        at = defaultdict(list)
+        for i, w in enumerate(words):
+            if w in needed:
+                at[w].append(i)
         starts: set[tuple[int, int]] = set()
-        for k, (phrase, _) in enumerate(self.base):
+        for k in phrases:
+            phrase = self.base[k][0]
             rarest = min(range(len(phrase)), key=lambda i: len(at.get(phrase[i], ())))
             starts |= {(p - rarest, k) for p in at.get(phrase[rarest], ()) if p >= rarest and words[p - rarest : p - rarest + len(phrase)] == phrase}
         votes: Counter = Counter()
-        for t, anchors in enumerate(self.anchors):
-            if self.mandatory[t] <= at.keys():
-                for w, offsets in anchors.items():
-                    votes.update({(t, p - offset) for offset in offsets for p in at.get(w, ())})  # one vote a word
+        for t in tried:
+            for w, offsets in self.anchors[t].items():
+                votes.update({(t, p - offset) for offset in offsets for p in at.get(w, ())})  # one vote a word
         labels, best = set(), 0.0
         for (t, start), n in votes.items():
             label, template, required = self.templates[t]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvox.llm.components import components
-from tallyvox.llm.tables import kept, matched, written
+from tallyvox.llm.tables import free_name, kept, matched, written
 
 WORDS, PERCENT = 5, 75
 BUCKETS, MANTISSA, ROWS = 256, 10, 5
@@ -348,5 +348,6 @@ def linked(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
 
 def deduplicated(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, one of each group, with all their columns. A null doc_id stays."""
-    gone = written(docs.sparkSession, linked(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return matched(docs.withColumn("_gone", F.col("doc_id").cast("bigint")), gone, ["_gone"], "left_anti").drop("_gone")
+    key = free_name(docs, "_gone")
+    gone = written(docs.sparkSession, linked(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return matched(docs.withColumn(key, F.col("doc_id").cast("bigint")), gone, [key], "left_anti").drop(key)

@@ -40,6 +40,14 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def is_slim(small: DataFrame, rows: int | None = None) -> bool:
     """Whether a written table is proven to be within BROADCAST_ROWS and BROADCAST_BYTES; bytes are counted where a column has no fixed width."""
     rows = small.count() if rows is None else rows

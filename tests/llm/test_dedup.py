@@ -131,3 +131,10 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_columns_named_like_helpers_stay(spark):
+    rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other words stand in here", "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, mark string").selectExpr("*", *(f"mark AS {c}" for c in ("_key", "_dropped", "_digest", "_gone", "_language", "_keep")))
+    for kept in (exact_dedup.deduplicated(docs), minhash.deduplicated(docs)):
+        assert kept.columns == docs.columns and sorted((r.doc_id, r._key, r._gone) for r in kept.collect()) == [(1, "x", "x"), (3, "z", "z")]

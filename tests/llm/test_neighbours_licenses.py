@@ -119,3 +119,36 @@ def test_every_start_with_enough_words_in_place_is_found():
             free = draw.permutation([i for i in range(len(words)) if i not in fixed])
             gone = set(free[: int(len(words) * (1 - licenses.LEAST) + 1e-9)].tolist())
             assert label in index.scan(["x", *("zz" if i in gone else w for i, w in enumerate(words))])[4]
+
+
+def brute_labels(words, templates):
+    """Each template at each start, word by word."""
+    found = set()
+    for label, t, required in templates:
+        for start in range(1 - len(t), len(words)):
+            share = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t)) / len(t)
+            if share >= licenses.LEAST:
+                near = words[max(0, start - licenses.REACH) : start + len(t) + licenses.REACH]
+                if all(any(near[i : i + len(p)] == p for i in range(len(near))) for p in required):
+                    found.add(label)
+    return found
+
+
+def test_labels_equal_brute_force():
+    draw, n = np.random.default_rng(12), 0
+    for frequent in ({}, {w: 900 - i for i, w in enumerate("the of and to is any this in version 2 0 4 license under licensed work".split())}):
+        index = licenses.Index(licenses.TEMPLATES, licenses.BASE, frequent, 1000)
+        every = sorted({w for _, t, _ in index.templates for w in t})
+        for _ in range(150):
+            words = []
+            for t in draw.choice(len(index.templates), draw.integers(0, 4)):
+                part = list(index.templates[t][1])
+                for _ in range(draw.integers(0, 4)):
+                    i = int(draw.integers(len(part)))
+                    part[i : i + int(draw.integers(0, 2))] = [str(draw.choice(every))] * int(draw.integers(0, 2))
+                    part = part or ["x"]
+                words += part + [str(x) for x in draw.choice(every + ["zz"], draw.integers(0, 6))]
+            want = brute_labels(words, index.templates)
+            assert index.scan(words)[4] == want
+            n += len(want)
+    assert n > 200
