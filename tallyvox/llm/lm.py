@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallyvox.llm.minhash import kept_hashes, mixed
-from tallyvox.llm.tables import new_path, written
+from tallyvox.llm.tables import let_go, new_path, written
 
 U = np.uint64
 BLOCK_BYTES, SEGMENT_BYTES = 2 << 20, 32 << 10
@@ -419,10 +419,14 @@ def scored(docs: DataFrame, segment: int = SEGMENT_BYTES, block_bytes: int = BLO
     blocks, size = in_blocks(docs, segment, block_bytes)
     volume, starts = (size["bytes"] or 0) + 16 * size["rows"], int(size["starts"])
     buckets, bits = max(4, volume // BUCKET_BYTES), bits_for(volume)
-    told = written(spark, answers(requests(blocks, buckets, bits)), "counts")
+    counts_path = new_path(spark, "counts")
+    answers(requests(blocks, buckets, bits)).write.parquet(counts_path)
+    told = spark.read.parquet(counts_path)
+    let_go(spark)
     sums = told.filter("block is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n_tokens, n_types = int(sums[0]), int(sums[1])
     found = written(spark, ways(blocks, told, starts, bits), "ways")
+    let_go(spark, counts_path)
     fail = learned_weights(found)
 
     def score(batches: Iterator) -> Iterator:

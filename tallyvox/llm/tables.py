@@ -40,6 +40,16 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that nothing reads any more, and have Spark delete the shuffle files of what is finished.
+
+    Spark does so when the driver collects garbage, which a driver with little to do may put off until the disks are full.
+    """
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores after it, so that df has no such column."""
     taken = {c.lower() for c in df.columns}
