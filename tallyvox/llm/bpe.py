@@ -32,7 +32,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Fragments of these characters only are split alike by every Unicode version of the pattern's classes.
 PLAIN = re.compile("[\x00-\x7fÀ-ɏ]*")
 UNEVEN = ["  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f"]
-KNOWN_FRAGMENTS = 250_000
+#: What a process remembers is bounded in fragments and in the characters of one.
+KNOWN_FRAGMENTS, LONGEST_KNOWN = 250_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -128,10 +129,13 @@ class Codec:
             for i, ids in enumerate(out):
                 if ids is None:
                     part = parts[i]
-                    if part not in known:
+                    ids = known.get(part)
+                    if ids is None:
                         whole = part if not plain or part[0] == "\n" else part[:-1] if part[-1] == " " else " " + part
-                        known[part] = self.ids_of(whole, plain)
-                    out[i] = known[part]
+                        ids = self.ids_of(whole, plain)
+                        if len(part) <= LONGEST_KNOWN:
+                            known[part] = ids
+                    out[i] = ids
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

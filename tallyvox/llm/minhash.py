@@ -45,7 +45,8 @@ BUCKETS, MANTISSA, ROWS = 256, 10, 5
 BANDS = BUCKETS // ROWS
 MISS = 1e-7
 BLOCK = 128
-KNOWN_WORDS = 250_000
+#: What a process remembers is bounded in words and in the bytes of one.
+KNOWN_WORDS, LONGEST_KNOWN = 250_000, 64
 U = np.uint64
 # Odd multipliers from one generator; any fixed ones do.
 ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
@@ -56,12 +57,14 @@ MASKS = [int(x) for x in np.random.default_rng(13).integers(0, 1 << 62, 4)]
 
 
 class Hashes(dict):
-    """Hashes of words, remembered."""
+    """Hashes of words, remembered but for long ones."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST_KNOWN:
+            self[word] = h
         return h
 
 

@@ -30,6 +30,26 @@ def test_exact_groups(spark):
         assert sum(r.kept for r in own) == 1
 
 
+@pytest.mark.parametrize("digits", [64, 1])
+def test_deliveries_meet_the_state_of_those_before(spark, tmp_path, monkeypatch, digits):
+    """Also with a digest of one digit, under which different texts clash."""
+    whole = exact_dedup.digest_of
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda content: whole(content).substr(1, digits))
+    deliveries = [[(5, "a b"), (6, "a  b"), (None, "z"), (7, None)], [], [(1, "a b"), (2, "new"), (3, "new"), (4, ""), (8, "z"), (9, "y " * 9000)], [(0, "new"), (10, "more"), (10, "more")]]
+    seen = {}
+    for number, rows in enumerate(deliveries):
+        for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+            seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append((number, i))
+        for _ in range(2 if number == 2 else 1):  # a repeated call changes nothing
+            got = exact_dedup.delivered(table(spark, rows), str(tmp_path), number, files_per_batch=1).collect()
+            want = []
+            for text, places in seen.items():
+                own = [(n, i) for n, i in places if n == number]
+                digest = hashlib.sha256(text.encode()).hexdigest()[:digits]
+                want += [(i, places[0][1], len(places), digest, places[0][0] == number and k == 0) for k, (_, i) in enumerate(own)]
+            assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256, r.kept) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_exact_kept_rows(spark):
     rows = [(1, "a"), (1, "a"), (2, "a"), (1, "b"), (None, "a"), (None, None)]
     kept = exact_dedup.deduplicated(table(spark, rows))
