@@ -62,6 +62,18 @@ class Dialect:
         return self.whole.get(syllable, syllable)
 
 
+def load_dialect(path: str, root: str = ".") -> Dialect:
+    """A dialect from a YAML file: enabled, initials, finals, syllables, digit_readings. Several readings of one character can't be had, so a file that asks for them is an error."""
+    import yaml
+
+    from tallyvox.settings import rooted
+
+    tree = yaml.safe_load(rooted(path, root).read_text(encoding="utf-8")) or {}
+    if tree.get("heteronym"):
+        raise ValueError("heteronym: one reading a character is known")
+    return Dialect({**{k: tree.get(k) or [] for k in ("initials", "finals", "syllables")}, "digits": tree.get("digit_readings") or {}}, tree.get("enabled", True))
+
+
 class Encoder:
     """Texts to sequences of reading sets."""
 

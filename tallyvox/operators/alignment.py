@@ -18,7 +18,8 @@ from tallyvox.settings import Settings
 
 DONE = ("VERIFIED", "FLAGGED")
 ALERTS = ("FAILED", "SKIP_WARNING", "FLAGGED")
-EVENTS = "ticket_id string, idx bigint, kind string, role string, heard string, seq int, score double, verdict string, message string, skipped array<int>, is_alert boolean, pointer int, reasons array<string>, conflicts array<string>"
+EVENTS = "ticket_id string, idx bigint, kind string, role string, heard string, seq int, score double, verdict string, message string, skipped array<int>, is_alert boolean, pointer int, reasons array<string>, conflicts array<string>, sentence_similarity double, slots array<struct<name:string,expected:string,outcome:string,score:double,required:boolean,conflicting_value:string>>"
+SLOT_FIELDS = ("name", "expected", "outcome", "score", "required", "conflicting_value")
 STATES = "ticket_id string, seq int, pos int, state string, called boolean, attempts int, score double, heard string, reasons array<string>, conflicts array<string>"
 
 
@@ -58,7 +59,7 @@ class Progress:
 def step(progress: Progress, text: str, role: str, match_of: Callable[[int], dict | None], settings: Settings) -> dict:
     """Take one utterance in: changes progress and returns the event.
 
-    match_of gives the match of the item at a position: score, verdict, reasons, conflicts and the normalised text heard.
+    match_of gives the match of the item at a position: score, verdict, reasons, conflicts, the normalised text heard, and if known sentence_similarity and slots.
     """
     records, n = progress.records, len(progress.records)
 
@@ -67,6 +68,7 @@ def step(progress: Progress, text: str, role: str, match_of: Callable[[int], dic
         return {
             "kind": kind, "role": role, "heard": text, "seq": None if pos is None else records[pos].seq, "score": m.get("score"), "verdict": m.get("verdict"), "message": message,
             "skipped": list(skipped), "is_alert": kind in ALERTS, "pointer": progress.pointer, "reasons": m.get("reasons", []) if reasons is None else reasons, "conflicts": m.get("conflicts", []),
+            "sentence_similarity": m.get("sentence_similarity"), "slots": m.get("slots", []),
         }
 
     window = range(max(0, progress.pointer - settings.lookback), min(n, progress.pointer + settings.lookahead + 1))
@@ -145,7 +147,8 @@ def prepared(utterances: DataFrame, items: DataFrame, matcher: Matcher) -> DataF
     pairs = candidates(utterances, items)
     scored = scored_pairs(pairs, matcher)
     conflict = F.transform(F.filter("match.outcomes", lambda o: o["outcome"] == "CONFLICT"), lambda o: F.concat(o["name"], F.lit(": 票面「"), o["value"], F.lit("」但复述为「"), o["heard"], F.lit("」")))
-    one = F.struct("pos", F.col("match.score").alias("score"), F.col("match.verdict").alias("verdict"), F.col("match.reasons").alias("reasons"), conflict.alias("conflicts"))
+    slots = F.transform("match.outcomes", lambda o: F.struct(o["name"].alias("name"), o["value"].alias("expected"), o["outcome"].alias("outcome"), F.round(o["score"], 4).alias("score"), o["required"].alias("required"), o["heard"].alias("conflicting_value")))
+    one = F.struct("pos", F.col("match.score").alias("score"), F.col("match.verdict").alias("verdict"), F.col("match.reasons").alias("reasons"), conflict.alias("conflicts"), F.col("match.sentence_similarity").alias("sentence_similarity"), slots.alias("slots"))
     matches = scored.groupBy("ticket_id", "idx").agg(F.array_sort(F.collect_list(one)).alias("matches"))
     said = utterances.join(matches, ["ticket_id", "idx"], "left")
     tickets = items.groupBy("ticket_id").agg(F.array_sort(F.collect_list(F.struct("pos", "seq"))).alias("items"))
@@ -157,7 +160,12 @@ def looked_up(matches, heard: str | None) -> Callable[[int], dict | None]:
 
     def match_of(pos: int) -> dict | None:
         m = found.get(pos)
-        return m and {"score": float(m["score"]), "verdict": m["verdict"], "reasons": list(m["reasons"]), "conflicts": list(m["conflicts"]), "heard": heard}
+        if m is None:
+            return None
+        more = m if isinstance(m, Mapping) else m.asDict()
+        slots = more.get("slots")
+        slots = [{k: s[k] for k in SLOT_FIELDS} for s in ([] if slots is None else slots)]
+        return {"score": float(m["score"]), "verdict": m["verdict"], "reasons": list(m["reasons"]), "conflicts": list(m["conflicts"]), "heard": heard, "sentence_similarity": more.get("sentence_similarity"), "slots": slots}
 
     return match_of
 
@@ -223,14 +231,20 @@ def aligned(rows: DataFrame, settings: Settings | None = None) -> DataFrame:
     return in_order(rows, EVENTS, settings or Settings(), lambda events: events, lambda ticket, progress: [])
 
 
+def final(ticket: str, progress: Progress) -> list[dict]:
+    finished(progress)
+    return [{"ticket_id": ticket, "pos": i, **asdict(r)} for i, r in enumerate(progress.records)]
+
+
 def item_states(rows: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The final state of each item of each ticket."""
+    return in_order(rows, STATES, settings or Settings(), lambda events: [], final)
 
-    def last(ticket: str, progress: Progress) -> list[dict]:
-        finished(progress)
-        return [{"ticket_id": ticket, "pos": i, **asdict(r)} for i, r in enumerate(progress.records)]
 
-    return in_order(rows, STATES, settings or Settings(), lambda events: [], last)
+def events_and_states(rows: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Both in one pass: each row has either an `event` or a `state`."""
+    schema = f"event struct<{EVENTS}>, state struct<{STATES}>"
+    return in_order(rows, schema, settings or Settings(), lambda events: [{"event": e, "state": None} for e in events], lambda ticket, progress: [{"event": None, "state": s} for s in final(ticket, progress)])
 
 
 def state_counts(states: DataFrame) -> DataFrame:
@@ -238,13 +252,22 @@ def state_counts(states: DataFrame) -> DataFrame:
     return states.groupBy("ticket_id", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-def report(states: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per ticket: total_items, state_counts, items and alerts, in order."""
+def report(states: DataFrame, events: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """One row per ticket: total_items, state_counts (in the order in which states first occur), items and alerts, in order.
+
+    texts: the tickets' items (ticket_id, pos, raw), for the items' `text`; null without it.
+    """
+    if texts is None:
+        states = states.withColumn("text", F.lit(None).cast("string"))
+    else:
+        states = states.join(texts.select("ticket_id", "pos", F.col("raw").alias("text")), ["ticket_id", "pos"], "left")
     items = states.groupBy("ticket_id").agg(
         F.count(F.lit(1)).alias("total_items"),
-        F.array_sort(F.collect_list(F.struct("pos", "seq", "state", "called", "attempts", F.round("score", 4).alias("score"), "heard", "reasons", "conflicts"))).alias("items"),
+        F.array_sort(F.collect_list(F.struct("pos", "seq", "text", "state", "called", "attempts", F.round("score", 4).alias("score"), "heard", "reasons", "conflicts"))).alias("items"),
     )
-    counts = state_counts(states).groupBy("ticket_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", "n")))).alias("state_counts"))
+    counted = states.groupBy("ticket_id", "state").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("first", "state", "n"))), lambda x: F.struct(x["state"], x["n"]))
+    counts = counted.groupBy("ticket_id").agg(F.map_from_entries(entries).alias("state_counts"))
     alerts = events.filter("is_alert").groupBy("ticket_id").agg(F.array_sort(F.collect_list(F.struct("idx", "kind", "seq", "message", "heard"))).alias("alerts"))
     return items.join(counts, "ticket_id").join(alerts, "ticket_id", "left").withColumn("alerts", F.coalesce("alerts", F.array()))
 

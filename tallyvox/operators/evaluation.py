@@ -33,6 +33,12 @@ def summary(rows: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
     )
 
 
+def verdicts(rows: DataFrame, by: Sequence[str] = ("label",), column: str = "verdict") -> DataFrame:
+    """by, verdicts: a map of how often each verdict occurs; rows without one don't count."""
+    counted = rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias("verdicts"))
+
+
 def histogram(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
 

@@ -21,19 +21,22 @@ Slot = tuple[str, str, str | None, int, int]
 
 
 def alternatives(terms: Iterable[str]) -> str:
-    return "|".join(map(re.escape, terms))
+    """One of the terms; nothing matches where there are none."""
+    return "|".join(map(re.escape, terms)) or "(?!)"
 
 
 class Extractor:
     """normalise projects the word lists into the space of the texts; a plain function of strings."""
 
-    def __init__(self, normalise: Callable[[str], str], assets: Sequence[str] = ()):
+    def __init__(self, normalise: Callable[[str], str], assets: Sequence[str] = (), words: S.Vocabulary | None = None):
+        words = words or S.Vocabulary()
+
         def listed(terms: Iterable[str]) -> list[str]:
             return sorted({normalise(t) for t in terms} - {""}, key=lambda t: (-len(t), t))
 
-        positions, actions, suffixes = listed(S.POSITIONS), listed(S.ACTIONS), alternatives(listed(S.SUFFIXES))
-        self.stopwords = listed(S.STOPWORDS)
-        prefix = f"[{re.escape(normalise(S.PREFIX_CHARS))}]"
+        positions, actions, suffixes = listed(words.positions), listed(words.actions), alternatives(listed(words.suffixes))
+        self.stopwords = listed(words.stopwords)
+        prefix = f"(?:{alternatives(sorted(set(normalise(words.prefix_chars))))})"
         place = alternatives(positions)
         self.switch = re.compile(f"(?:由|从)?({place})(?:{alternatives(listed(S.SWITCH_VERBS))})({place})")
         self.confirmed = re.compile(f"(?:确在|处于|在)({place})(?:位置|状态)")
@@ -41,14 +44,14 @@ class Extractor:
         self.devices = [re.compile(rf"{prefix}{{0,4}}\d{{1,5}}号?(?:{suffixes})"), re.compile(rf"{prefix}{{1,4}}(?:{suffixes})")]
         # a position that is an action as well counts as a position only within a switch or a confirmation
         self.layers = [
-            ("object", "object", listed(S.OBJECTS)),
-            ("handle", "handle", listed(S.HANDLES)),
+            ("object", "object", listed(words.objects)),
+            ("handle", "handle", listed(words.handles)),
             ("device", "device", listed(assets)),
             ("position", "position", [p for p in positions if p not in actions]),
-            ("check_type", "check_type", listed(S.CHECKS)),
+            ("check_type", "check_type", listed(words.checks)),
             ("action", "action", actions),
-            ("panel", None, listed(S.PANELS)),
-            ("state", None, listed(S.STATES)),
+            ("panel", None, listed(words.panels)),
+            ("state", None, listed(words.states)),
         ]
         #: The values of each exclusive group, for telling a wrong word from a missing one.
         self.groups = {"position": positions, "object": self.layers[0][2], "handle": self.layers[1][2], "action": actions, "check_type": self.layers[4][2]}

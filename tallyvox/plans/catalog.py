@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyvox.functions import text as T
 from tallyvox.functions.phonetic import encoder_for
@@ -407,6 +408,75 @@ def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type").isin("click", "purchase"), "FAILED").otherwise("VERIFIED")
     return reports.totals(table(spark, sf_dir, "events").select("user_id", kind.alias("event")), "user_id")
 
+# --- whole runs ---------------------------------------------------------------
+
+
+def conversation_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations as runs: segments from the lengths of the utterances, events from the best item near each, and the items."""
+    items, said = turns(spark, sf_dir)
+    n = F.length("heard")
+    role = F.when(n % 3 == 0, "OPERATOR").when(n % 3 == 1, "CALLER")
+    segments = said.select(
+        "ticket_id", "idx", (F.col("idx") * 1000).cast("bigint").alias("start_ms"), (F.col("idx") * 1000 + n).cast("bigint").alias("end_ms"), (n / 100).alias("rms"), F.lit(1.0).alias("ratio"),
+        role.alias("role"), F.lit(0.5).alias("confidence"), F.lit("energy").alias("source"), F.col("heard").alias("text"), F.col("heard").alias("raw_text"), (n / 1024).alias("infer_seconds"),
+    )
+    kinds = StructType.fromDDL(alignment.EVENTS)
+    none = {c: F.array().cast(kinds[c].dataType).alias(c) for c in ("reasons", "conflicts", "slots")}
+    score = F.floor(F.col("score") * 1000) / 1000
+    kind = F.when(F.col("chatter"), "FLAGGED").when(score >= 0.82, "VERIFIED").otherwise("REPEAT")
+    best = match_best_in_window(spark, sf_dir)
+    events = best.select(
+        "ticket_id", "idx", kind.alias("kind"), F.when(~F.col("chatter"), F.col("pos").cast("int")).alias("seq"), score.alias("score"), F.when(score >= 0.82, "PASS").otherwise("REVIEW").alias("verdict"),
+        F.lit("m").alias("message"), F.lit("h").alias("heard"), F.col("chatter").alias("is_alert"), score.alias("sentence_similarity"), *none.values(), F.col("pos").alias("at"),
+    )
+    return segments, events, items
+
+
+RUN_SQL = f"""
+{TURNS_SQL},
+p AS (SELECT ticket_id, idx, pos, round(greatest(0.0, 1.0 - levenshtein(norm, heard) / greatest(length(norm), length(heard), 1)), 6) AS score
+      FROM u JOIN i USING (ticket_id) WHERE pos BETWEEN idx - 2 AND idx + 2),
+b AS (SELECT ticket_id, idx, arg_max(pos, (score, -pos)) AS pos, max(score) < 0.45 AS chatter, floor(max(score) * 1000) / 1000 AS score FROM p GROUP BY ticket_id, idx)"""
+
+
+@query(f"""WITH {RUN_SQL}
+SELECT u.ticket_id, row_number() OVER (PARTITION BY u.ticket_id ORDER BY u.idx) AS "index", u.idx * 1000 AS start_ms, u.idx * 1000 + length(heard) AS end_ms, length(heard) AS duration_ms, round(length(heard) / 100, 6) AS rms,
+       ['OPERATOR', 'CALLER', 'UNKNOWN'][length(heard) % 3 + 1] AS role, ['操作人', '唱票人', '未定'][length(heard) % 3 + 1] AS role_label, round(length(heard) / 1024, 4) AS infer_seconds, md5(heard) AS asr_md5,
+       CASE WHEN b.idx IS NULL THEN NULL WHEN chatter THEN 'FLAGGED' WHEN score >= 0.82 THEN 'VERIFIED' ELSE 'REPEAT' END AS event, CASE WHEN NOT chatter THEN pos END AS matched_seq, round(score, 4) AS score,
+       CASE WHEN b.idx IS NULL THEN NULL WHEN score >= 0.82 THEN 'PASS' ELSE 'REVIEW' END AS verdict, 0 AS slots
+FROM u LEFT JOIN b ON u.ticket_id = b.ticket_id AND u.idx = b.idx""")
+def report_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ1, JN7: the segments' rows of all conversations."""
+    segments, events, _ = conversation_runs(spark, sf_dir)
+    whole = "ticket_id index start_ms end_ms duration_ms rms role role_label infer_seconds event matched_seq score verdict".split()
+    return reports.segment_rows(events, segments).select(*whole, F.md5("asr_text").alias("asr_md5"), F.size("slots").alias("slots"))
+
+
+@query(f"""WITH {RUN_SQL},
+s AS (SELECT ticket_id, count(*) AS n, sum(length(heard) / 1024) AS infer FROM u GROUP BY ticket_id),
+a AS (SELECT ticket_id, count(*) FILTER (WHERE chatter) AS alerts FROM b GROUP BY ticket_id),
+v AS (SELECT DISTINCT ticket_id, pos FROM b WHERE NOT chatter),
+c AS (SELECT i.ticket_id, count(*) AS items, count(v.pos) AS verified, md5(arg_min(norm, i.pos)) AS first_md5 FROM i LEFT JOIN v ON i.ticket_id = v.ticket_id AND i.pos = v.pos GROUP BY i.ticket_id)
+SELECT ticket_id, coalesce(n, 0) AS segment_count, len_rows AS segments, round(coalesce(infer, 0), 3) AS total_infer_seconds, round(coalesce(infer, 0) / 64, 4) AS rtf, items, verified, items - verified AS unconfirmed, coalesce(alerts, 0) AS alert_count, first_md5
+FROM c LEFT JOIN (SELECT *, n AS len_rows FROM s) USING (ticket_id) LEFT JOIN a USING (ticket_id)""".replace("len_rows AS segments", "coalesce(len_rows, 0) AS segments"))
+def report_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1, AG2, AGN5, FLT5: the reports of all conversations that have items."""
+    segments, events, items = conversation_runs(spark, sf_dir)
+    texts = items.select("ticket_id", F.col("pos").cast("int").alias("pos"), F.col("norm").alias("raw"))
+    met = events.filter("not is_alert").select("ticket_id", F.col("at").cast("int").alias("pos"), F.lit(True).alias("met")).distinct()
+    none = F.array().cast("array<string>")
+    states = texts.join(met, ["ticket_id", "pos"], "left").select(
+        "ticket_id", F.col("pos").alias("seq"), "pos", F.when(F.col("met"), "VERIFIED").otherwise("UNCONFIRMED").alias("state"), F.lit(False).alias("called"), F.lit(0).alias("attempts"),
+        F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("heard"), none.alias("reasons"), none.alias("conflicts"),
+    )
+    tickets_ = texts.select("ticket_id").distinct().select("ticket_id", F.lit(64.0).alias("audio_seconds"), *(F.lit(c).alias(c) for c in reports.METADATA))
+    docs = reports.documents(tickets_, segments, reports.segment_rows(events, segments), alignment.report(states, events, texts))
+    of = lambda state: F.coalesce(F.element_at("summary.state_counts", state), F.lit(0))
+    return docs.select(
+        "ticket_id", "summary.segment_count", F.size("segments").alias("segments"), "summary.total_infer_seconds", "summary.rtf", F.size("items").alias("items"), of("VERIFIED").alias("verified"), of("UNCONFIRMED").alias("unconfirmed"),
+        "summary.alert_count", F.md5(F.get("items", 0)["text"]).alias("first_md5"),
+    )
+
 
 def queries() -> dict[str, Query]:
     return QUERIES

@@ -31,6 +31,29 @@ DIALECT = {
 }
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """The word lists of slot extraction."""
+
+    positions: tuple[str, ...] = tuple(POSITIONS)
+    objects: tuple[str, ...] = tuple(OBJECTS)
+    handles: tuple[str, ...] = tuple(HANDLES)
+    actions: tuple[str, ...] = tuple(ACTIONS)
+    checks: tuple[str, ...] = tuple(CHECKS)
+    panels: tuple[str, ...] = tuple(PANELS)
+    states: tuple[str, ...] = tuple(STATES)
+    suffixes: tuple[str, ...] = tuple(SUFFIXES)
+    stopwords: tuple[str, ...] = tuple(STOPWORDS)
+    prefix_chars: str = PREFIX_CHARS
+
+
+#: Where each word list stands in a YAML file.
+VOCABULARY_PATHS = {
+    "positions": "positions.values", "objects": "objects.values", "handles": "handles.values", "actions": "actions.values", "checks": "check_markers.values",
+    "panels": "panels.values", "states": "states.values", "suffixes": "device_suffixes", "stopwords": "stopwords", "prefix_chars": "device_prefix_chars",
+}
+
+
 @dataclass(frozen=True)
 class Settings:
     """All thresholds of matching, alignment and speech analytics."""
@@ -82,6 +105,15 @@ def dotted(tree: Mapping[str, Any], path: str, default: Any = None) -> Any:
     return tree
 
 
+def load_vocabulary(path: str | Path, root: str | Path = ".") -> Vocabulary:
+    """Word lists from a YAML file; a list that it lacks is empty. A missing file is an error."""
+    import yaml
+
+    tree = yaml.safe_load(rooted(path, root).read_text(encoding="utf-8")) or {}
+    found = {name: dotted(tree, at) for name, at in VOCABULARY_PATHS.items()}
+    return Vocabulary(**{k: v or "" if k == "prefix_chars" else tuple(map(str, v or ())) for k, v in found.items()})
+
+
 def load(path: str | Path, root: str | Path = ".") -> Settings:
     """Settings from a YAML file; what it doesn't name keeps its default. A missing file is an error."""
     import yaml

@@ -33,7 +33,7 @@ def aligned_stream(rows: DataFrame, settings: Settings | None = None) -> DataFra
             finished(progress)
             for r, was in zip(progress.records, before):
                 if was != r.state:
-                    events.append({"ticket_id": key[0], "idx": progress.last_idx + 1, "kind": "UNCONFIRMED", "role": END, "heard": "", "seq": r.seq, "score": None, "verdict": None, "message": "", "skipped": [], "is_alert": False, "pointer": progress.pointer, "reasons": [], "conflicts": []})
+                    events.append({"ticket_id": key[0], "idx": progress.last_idx + 1, "kind": "UNCONFIRMED", "role": END, "heard": "", "seq": r.seq, "score": None, "verdict": None, "message": "", "skipped": [], "is_alert": False, "pointer": progress.pointer, "reasons": [], "conflicts": [], "sentence_similarity": None, "slots": []})
         state.update((json.dumps(progress.dump(), ensure_ascii=False),))
         yield frame(events, EVENTS)
 
