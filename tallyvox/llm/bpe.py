@@ -13,6 +13,11 @@ second kind. The fragments are encoded independently, remembered while a bounded
 memory lasts, and their ids concatenated. Cuts depend on the vocabulary alone, so
 the ids are those of the whole text.
 
+A fast encoder takes fragments up to LONGEST_FAST characters. Its pattern engine runs out of stack on
+a run of a million spaces and its merging is quadratic in a word, so a longer
+fragment without certain cuts (a run of white space, digits or one letter) goes through the library, at
+some 250 bytes of memory a character.
+
 A null text counts as empty; an empty text has no ids.
 """
 
@@ -34,6 +39,7 @@ PLAIN = re.compile("[\x00-\x7fÀ-ɏ]*")
 UNEVEN = ["  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f"]
 #: What a process remembers is bounded in fragments and in the characters of one.
 KNOWN_FRAGMENTS, LONGEST_KNOWN = 250_000, 64
+LONGEST_FAST = 1000
 
 
 def byte_letters() -> dict[str, int]:
@@ -104,11 +110,14 @@ class Codec:
         if not self.ranked or not (plain or PLAIN.fullmatch(fragment)) or (self.marked and self.marked.search(fragment)):
             ids = self.library.encode(fragment, add_special_tokens=False).ids
         elif self.inner and len(fragment) > 24:
-            ids = [i for part in self.inner.split(fragment) for i in self.fast.encode_ordinary(part)]
+            ids = [i for part in self.inner.split(fragment) for i in self.word_ids(part)]
         else:
-            ids = self.fast.encode_ordinary(fragment)
+            ids = self.word_ids(fragment)
         return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids)
 
+    def word_ids(self, part: str) -> list[int]:
+        return self.fast.encode_ordinary(part) if len(part) <= LONGEST_FAST else self.library.encode(part, add_special_tokens=False).ids
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text, as little-endian unsigned 32-bit integers."""
         if not text:

@@ -40,6 +40,17 @@ def test_ids_equal_the_librarys(codec):
         assert codec.decode(ids) == codec.library.decode(exact(codec, text), skip_special_tokens=False)
 
 
+LONG = 1_200_000
+RUNS = ["a" + " " * LONG + "x", "\n" * LONG, "\t" * LONG + "x", "1" * LONG, "z" * LONG, "tq" * (LONG // 2), "\xa0" * LONG + "a", "!" * LONG, " \n\t" * (LONG // 3) + "x", "é" * LONG]
+
+
+@pytest.mark.parametrize("text", RUNS, ids=["spaces", "newlines", "tabs", "digits", "letter", "cuts", "no-break", "signs", "mixed", "accents"])
+def test_very_long_runs(codec, text):
+    ids = codec.encode(text)
+    assert ids == np.array(exact(codec, text), dtype="<u4").tobytes()
+    assert codec.decode(ids) == text
+
+
 def documents(spark, tmp_path, rows=ROWS):
     spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'x' AS ids", "'y' AS decoded").write.parquet(f"{tmp_path}/documents.parquet")
     return str(tmp_path)
@@ -72,6 +83,15 @@ def test_query_of_packing(spark, tmp_path, codec):
             assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
 
 
+def test_queries_with_very_long_runs(spark, tmp_path, codec):
+    rows = [(i, text) for i, text in enumerate(RUNS[:4])] + [(9, "short")]
+    sf = documents(spark, tmp_path, rows)
+    n = {r.doc_id: r.n_tokens for r in queries.op5_bpe(spark, sf).collect()}
+    assert n == {doc: len(exact(codec, text)) for doc, text in rows}
+    packed = queries.op10_packing(spark, sf).groupBy("doc_id").sum("length").collect()
+    assert dict(map(tuple, packed)) == {doc: n + 1 for doc, n in n.items()}
+
+
 def test_empty_table(spark, tmp_path):
     sf = documents(spark, tmp_path, [])
     assert queries.op5_bpe(spark, sf).count() == 0 and queries.op10_packing(spark, sf).count() == 0
