@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm import bpe, exact_dedup, langid, licenses, lm, minhash, neighbours, packing, tools, urls
+from tallyvox.llm import bpe, exact_dedup, importance, langid, licenses, lm, minhash, neighbours, packing, tools, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,9 +133,37 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resampling of all documents towards the benchmark's words."""
+    out = importance.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: A word's CRC-32 by its bytes, one bit at a time; distinct words only, as this is slow in SQL.
+OP13_SQL = """
+WITH w AS (
+  SELECT doc_id, true AS corpus, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL SELECT NULL, false, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+d AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM w),
+b AS (SELECT word, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM d),
+c AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x:
+        list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: xor(a >> 1, (a & 1) * 3988292384))), 4294967295) % 10000 AS bucket FROM b),
+f AS (SELECT w.doc_id, w.corpus, c.bucket FROM w JOIN c USING (word)),
+n AS (SELECT bucket, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t FROM f GROUP BY bucket),
+t AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM n),
+g AS (SELECT bucket, floor(1000 * ln((n.t + 1)::DOUBLE * (t.s + 10000) / ((n.s + 1)::DOUBLE * (t.t + 10000))))::BIGINT AS gain FROM n, t),
+x AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN g USING (bucket) WHERE corpus GROUP BY doc_id),
+y AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM documents LEFT JOIN x USING (doc_id)),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT y.*, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM y LEFT JOIN z USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_tool_links": op1_tool_links, "op2_neighbours": op2_neighbours, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_near_duplicates": op8_near_duplicates, "op9_lm": op9_lm, "op10_packing": op10_packing}
+    return {"op1_tool_links": op1_tool_links, "op2_neighbours": op2_neighbours, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_near_duplicates": op8_near_duplicates, "op9_lm": op9_lm, "op10_packing": op10_packing, "op13_importance": op13_importance}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_links": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_near_duplicates": OP8_SQL}
+    return {"op1_tool_links": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_near_duplicates": OP8_SQL, "op13_importance": OP13_SQL}
