@@ -74,15 +74,16 @@ def cut_patterns(pairs: set[tuple[int, int]]) -> tuple[re.Pattern, re.Pattern |
 
 
 class Codec:
-    """Encodes and decodes with one vocabulary; spec is the text of its tokenizers file."""
+    """Encodes and decodes with one vocabulary; spec is the text of its tokenizers file. plain: special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, plain: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self.library.encode_special_tokens = plain
         vocab = vocabulary(spec)
         layout = json.loads(spec)
         self.special = {x["content"]: x["id"] for x in layout["added_tokens"]}
@@ -94,7 +95,7 @@ class Codec:
         pieces = dict(zip(vocab.values(), vocab.keys())) | {i: s.encode() for s, i in self.special.items()}
         self.table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.fragment, self.inner = cut_patterns(inner_pairs(vocab))
-        self.marked = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        self.marked = re.compile("|".join(map(re.escape, self.special))) if self.special and not plain else None
         self.known: dict[str, bytes] = {}
         self.known_whole: dict[str, bytes] = {}
         self.held = [c for c in map(chr, range(0xC0, 0x250)) if self.fragment.fullmatch(f"{c} x")]
