@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvox.llm import bpe, crosstok, exact_dedup, importance, langid, licenses, lm, minhash, neighbours, packing, tools, urls
+from tallyvox.llm import bpe, crosstok, exact_dedup, fingerprints, importance, langid, licenses, lm, minhash, neighbours, packing, tools, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +138,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstok.linked(documents(spark, sf_dir))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text and of the next document."""
+    return fingerprints.neighbours(documents(spark, sf_dir))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampling of all documents towards the benchmark's words."""
     out = importance.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -167,7 +172,7 @@ SELECT y.*, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM y LEFT
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_tool_links": op1_tool_links, "op2_neighbours": op2_neighbours, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_near_duplicates": op8_near_duplicates, "op9_lm": op9_lm, "op10_packing": op10_packing, "op11_alignment": op11_alignment, "op13_importance": op13_importance}
+    return {"op1_tool_links": op1_tool_links, "op2_neighbours": op2_neighbours, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_near_duplicates": op8_near_duplicates, "op9_lm": op9_lm, "op10_packing": op10_packing, "op11_alignment": op11_alignment, "op12_fingerprints": op12_fingerprints, "op13_importance": op13_importance}
 
 
 def oracle_sql() -> dict[str, str]:
