@@ -15,6 +15,8 @@ from tallyvox.operators import alignment, evaluation, lexicon, matching, slots,
 from tallyvox.plans import fixtures
 from tallyvox.settings import Settings
 from tallyvox.sources import reports, tickets
+from tallyvox.streaming import alignment as streams
+from tallyvox.tables import new_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,9 +192,25 @@ def align_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.item_states(sample_rows(spark)).select("seq", "state")
 
 
-@query()
-def align_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGN1 over all conversations: assistant turns aligned with user turns."""
+#: The fold as a recursion: k utterances taken, the pointer, the items' states, and the event of the last one.
+FOLD_SQL = f"""
+{TURNS_SQL},
+l AS (SELECT ticket_id, list(pos + 1 ORDER BY pos) AS seqs, list(norm ORDER BY pos) AS norms, count(*)::INT AS n FROM i GROUP BY ticket_id),
+s AS (SELECT ticket_id, seqs, n, idx, heard, row_number() OVER (PARTITION BY ticket_id ORDER BY idx) AS k,
+        list_transform(norms, lambda x: greatest(0.0, 1.0 - levenshtein(x, heard) / greatest(length(x), length(heard), 1))) AS scores FROM l JOIN u USING (ticket_id)),
+f AS (SELECT ticket_id, 0::BIGINT AS k, 0 AS pointer, list_transform(seqs, lambda x: 'PENDING') AS states, -1::BIGINT AS idx, ''::VARCHAR AS kind, NULL::INT AS seq, NULL::DOUBLE AS score FROM l
+  UNION ALL
+  SELECT ticket_id, k, CASE WHEN place IS NULL OR st IN ('VERIFIED', 'FLAGGED') THEN pointer ELSE place::INT END,
+    CASE WHEN place IS NULL THEN states ELSE list_transform(states, lambda x, j: CASE WHEN j = place THEN CASE WHEN best >= 0.82 OR st = 'VERIFIED' THEN 'VERIFIED' ELSE 'FLAGGED' END
+      WHEN st NOT IN ('VERIFIED', 'FLAGGED') AND j > pointer AND j < place AND x = 'PENDING' THEN 'UNCONFIRMED' ELSE x END) END,
+    idx, CASE WHEN place IS NULL THEN 'CHATTER' WHEN st IN ('VERIFIED', 'FLAGGED') THEN 'REPEAT' WHEN len(list_filter(states[pointer + 1:place - 1], lambda x: x = 'PENDING')) > 0 THEN 'SKIP_WARNING' WHEN best >= 0.82 THEN 'VERIFIED' ELSE 'FLAGGED' END,
+    CASE WHEN place IS NOT NULL THEN seqs[place]::INT END, best
+  FROM (SELECT *, states[place] AS st FROM (SELECT *, CASE WHEN best >= 0.2 THEN greatest(1, pointer) + list_position(near, best) - 1 END AS place FROM (SELECT *, list_max(near) AS best FROM (
+    SELECT s.*, f.pointer, f.states, CASE WHEN trim(heard) <> '' THEN scores[greatest(1, f.pointer):least(n, f.pointer + 3)] END AS near FROM f JOIN s ON s.ticket_id = f.ticket_id AND s.k = f.k + 1)))))"""
+
+
+def conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as rows for the alignment: assistant turns against user turns, scored by edit distance."""
     items, said = turns(spark, sf_dir)
     items = items.select(F.col("ticket_id").cast("string"), (F.col("pos") + 1).cast("int").alias("seq"), F.row_number().over(Window.partitionBy("ticket_id").orderBy("pos")).alias("pos"), "norm").withColumn("pos", F.col("pos") - 1)
     said = said.select(F.col("ticket_id").cast("string"), "idx", F.lit("OPERATOR").alias("role"), F.col("heard").alias("text"), "heard")
@@ -204,8 +222,35 @@ def align_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct("pos", "score", verdict.alias("verdict"), none.alias("reasons"), none.alias("conflicts"))
     matches = pairs.withColumn("score", score).groupBy("ticket_id", "idx").agg(F.array_sort(F.collect_list(one)).alias("matches"))
     listed = items.groupBy("ticket_id").agg(F.array_sort(F.collect_list(F.struct("pos", "seq"))).alias("items"))
-    rows = listed.join(said.join(matches, ["ticket_id", "idx"], "left"), "ticket_id", "left")
-    return alignment.aligned(rows, Settings(chatter=0.2)).select("ticket_id", "idx", "kind", "seq", F.round("score", 6).alias("score"), "pointer")
+    return listed.join(said.join(matches, ["ticket_id", "idx"], "left"), "ticket_id", "left")
+
+
+@query(f"WITH RECURSIVE {FOLD_SQL} SELECT ticket_id::VARCHAR AS ticket_id, idx, kind, seq, round(score, 6) AS score, pointer FROM f WHERE k > 0")
+def align_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGN1 over all conversations: assistant turns aligned with user turns."""
+    return alignment.aligned(conversation_rows(spark, sf_dir), Settings(chatter=0.2)).select("ticket_id", "idx", "kind", "seq", F.round("score", 6).alias("score"), "pointer")
+
+
+@query(f"""WITH RECURSIVE {FOLD_SQL},
+e AS (SELECT ticket_id, pointer, idx, unnest(states) AS state, unnest(seqs)::INT AS seq FROM f JOIN l USING (ticket_id) QUALIFY k = max(k) OVER (PARTITION BY ticket_id))
+SELECT ticket_id::VARCHAR AS ticket_id, idx, kind, seq, round(score, 6) AS score, pointer FROM f WHERE k > 0
+UNION ALL SELECT ticket_id::VARCHAR, idx + 1, 'UNCONFIRMED', seq, NULL, pointer FROM e WHERE state = 'PENDING'""")
+def align_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGN1, AGN4 as a stream over all conversations, in three deliveries: the first turns, the rest after a restart from the checkpoint, and a heartbeat
+    whose event time lets timers finish all conversations."""
+    rows = conversation_rows(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.col("idx") + 1))
+    whole = written(spark, rows, "stream-rows")
+    late = F.coalesce(F.col("idx"), F.lit(0)) >= 3
+    beat = spark.range(1).select(F.lit("heartbeat").alias("ticket_id"), F.lit(0).cast("bigint").alias("idx"), F.timestamp_seconds(F.lit(1 << 33)).alias("at"))
+    beat = whole.limit(0).unionByName(beat, allowMissingColumns=True).withColumn("items", F.coalesce("items", F.array().cast(whole.schema["items"].dataType)))
+    source, out, check = (new_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    for delivery in (whole.filter(~late), whole.filter(late), beat):
+        delivery.write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(whole.schema).parquet(source).withWatermark("at", "0 seconds")
+        events = streams.aligned_stream(arriving, Settings(chatter=0.2), idle_ms=3_600_000, clock="at")
+        events.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(alignment.EVENTS).parquet(out).filter("ticket_id <> 'heartbeat'")
+    return found.select("ticket_id", "idx", "kind", "seq", F.round("score", 6).alias("score"), "pointer")
 
 
 # --- speech ------------------------------------------------------------------

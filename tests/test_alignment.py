@@ -1,4 +1,8 @@
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from tallyvox.functions.phonetic import encoder_for
 from tallyvox.functions.plain import normalised
@@ -109,6 +113,98 @@ def test_full_pass_in_batch_and_stream(spark, matcher, tmp_path):
     assert [r.kind for r in spark.table("events1").collect()] == ["UNCONFIRMED"] * 9
 
 
+def timed(table, tmp_path, name, files):
+    """The rows of a table by idx, so many of them in each of several files, with an event time of a second an idx; read as a stream, a file a trigger."""
+    rows = table.withColumn("at", F.timestamp_seconds(F.col("idx") + 1))
+    for i, low, high in files:
+        rows.filter(F.col("idx").between(low, high)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}").withWatermark("at", "0 seconds")
+
+
+def run(events, tmp_path, name):
+    q = events.writeStream.format("parquet").option("path", f"{tmp_path}/{name}-out").option("checkpointLocation", f"{tmp_path}/{name}-check").trigger(availableNow=True).start()
+    if not q.awaitTermination(100):
+        q.stop()
+        raise AssertionError("the stream doesn't end")
+    return events.sparkSession.read.schema(A.EVENTS).parquet(f"{tmp_path}/{name}-out").collect()
+
+
 def test_ticket_without_utterances(spark, matcher):
     table = rows(spark, matcher, [])
     assert A.aligned(table).count() == 0 and {r.state for r in A.item_states(table).collect()} == {"UNCONFIRMED"}
+
+
+def generated(spark, tmp_path, tickets=12, said=15, seed=6):
+    """Tickets of made-up items and matches, with all verdicts and roles, as prepared() gives them."""
+    draw, data = random.Random(seed), []
+    for t in range(tickets):
+        n = draw.randint(0, 7)
+        items = [(p, p + 1) for p in range(n)]
+        for idx in range(draw.randint(0, said)):
+            matches = []
+            for p in range(n):
+                verdict = draw.choice(["PASS", "REVIEW", "FAIL"])
+                matches.append((p, round(draw.random(), 3), verdict, ["why"] if verdict == "FAIL" else [], ["x"] if verdict == "FAIL" else [], 0.5, []))
+            data.append((f"t{t}", items, idx, draw.choice(["CALLER", "OPERATOR", None]), draw.choice(["said", " "]), "heard", matches))
+    schema = "ticket_id string, items array<struct<pos:int,seq:int>>, idx bigint, role string, text string, heard string, matches array<struct<pos:int,score:double,verdict:string,reasons:array<string>,conflicts:array<string>,sentence_similarity:double,slots:array<struct<name:string,expected:string,outcome:string,score:double,required:boolean,conflicting_value:string>>>>"
+    spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/generated")
+    return spark.read.parquet(f"{tmp_path}/generated"), schema
+
+
+def by_row(events):
+    return sorted(map(str, events))
+
+
+@pytest.mark.parametrize("aware", [False, True])
+def test_stream_gives_the_events_of_the_batch(spark, tmp_path, aware):
+    table, _ = generated(spark, tmp_path)
+    s = Settings(role_aware=aware, chatter=0.2)
+    stream = timed(table, tmp_path, "s", [(0, 0, 4), (1, 5, 9), (2, 10, 99)])
+    got = run(aligned_stream(stream, s, idle_ms=10_000_000, clock="at"), tmp_path, "s")
+    assert by_row(got) == by_row(A.aligned(table, s).collect())
+
+
+def test_idle_tickets_are_finished_by_a_timer_and_late_rows_counted(spark, tmp_path):
+    table, schema = generated(spark, tmp_path)
+    s = Settings(chatter=0.2)
+    first = [r for r in table.collect() if r.idx < 5]
+    again = [r for r in first if r.ticket_id in ("t1", "t2") and r.idx < 2]
+    clock = ("clock", [], 10_000, "UNKNOWN", " ", "", [])
+    ended = [("t3", [], 50, END, "", "", []), ("t3", [], 51, "OPERATOR", "said", "", [])]
+    after = [("t4", [], 20_000, "OPERATOR", "said", "", [])]
+    path, kept = f"{tmp_path}/r", []
+    for rows in (first, again + ended, [clock], after):
+        spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds(F.col("idx") + 1)).coalesce(1).write.mode("append").parquet(path)
+        # each run is a restart from the checkpoint
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withWatermark("at", "100 seconds")
+        kept.append(run(aligned_stream(stream, s, idle_ms=600_000, clock="at"), tmp_path, "r"))
+    events = [e for e in kept[-1] if e.ticket_id != "clock"]
+    held = spark.createDataFrame(first, schema)
+    told = [e for e in events if e.kind not in ("DROPPED", "UNCONFIRMED")]
+    assert by_row(told) == by_row(A.aligned(held, s).collect())
+    late = sorted((e.ticket_id, e.idx, e.message) for e in events if e.kind == "DROPPED")
+    want = [("t3", 51, 1)] + [(t, i, i + 1) for t in ("t1", "t2") for i in range(2) if any(r.ticket_id == t and r.idx == i for r in again)]
+    want += [("t4", 20_000, 1)] if any(r.ticket_id == "t4" for r in first) else []
+    assert late == sorted((t, i, f"乱序或迟到，未计入（累计 {n} 条）") for t, i, n in want)
+    # a timer or END turns what is pending into unconfirmed items: the states of the batch say the same
+    given = {(e.ticket_id, e.seq) for e in events if e.kind == "UNCONFIRMED"} | {(e.ticket_id, q) for e in told for q in e.skipped}
+    assert {(r.ticket_id, r.seq) for r in A.item_states(held, s).filter("state = 'UNCONFIRMED'").collect()} <= given
+    assert not [e for e in kept[1] if e.kind == "UNCONFIRMED" and e.ticket_id != "t3"]  # not idle for long enough yet
+
+
+def test_idle_by_processing_time(spark, tmp_path):
+    table, schema = generated(spark, tmp_path, tickets=3)
+    path = f"{tmp_path}/p"
+    table.filter("idx = 0").coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(schema).parquet(path)
+    q = aligned_stream(stream, Settings(chatter=0.2), idle_ms=1000).writeStream.format("memory").queryName("idle").option("checkpointLocation", f"{tmp_path}/pc").trigger(processingTime="500 milliseconds").start()
+    try:
+        want = A.item_states(table.filter("idx = 0"), Settings(chatter=0.2)).filter("state = 'UNCONFIRMED'").count()
+        for _ in range(60):
+            got = spark.table("idle").selectExpr("sum(if(kind = 'UNCONFIRMED', 1, size(skipped)))").first()[0]
+            if got == want:
+                break
+            time.sleep(1)
+        assert got == want and want > 0
+    finally:
+        q.stop()

@@ -83,6 +83,33 @@ def test_marks_are_paired(spark, tmp_path):
     assert [r.role for r in spark.table("roles").orderBy("idx").collect()] == ["UNKNOWN", "UNKNOWN", "UNKNOWN", "OPERATOR", "CALLER"]
 
 
+def test_streams_of_marks_and_energies_carry_state_and_count_what_they_drop(spark, tmp_path):
+    draw = random.Random(4)
+    energies = [(r, i, draw.choice([0.0, 1.0, 2.0, 9.0])) for r in "ab" for i in range(300)]
+    want = []
+    for r in "ab":
+        recent, last = [], None
+        for _, i, x in (e for e in energies if e[0] == r):
+            last, *more = S.observed(x, recent, last, 1.6)
+            want.append((r, i, x, last, *more, None))
+    parts = [energies[:150] + energies[300:420], energies[100:300] + energies[420:] + energies[310:320]]  # 50 of a and 10 of b come twice
+    for k, rows in enumerate(parts):
+        df = spark.createDataFrame(rows, "recording string, idx bigint, rms double").selectExpr("*", "timestamp_seconds(idx + 1) AS at", "1 AS clock")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/e").withWatermark("at", "1 day")
+        q = S.roles_stream(stream, idle_ms=10_000_000, clock="at", counted=True).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        assert q.awaitTermination(100)
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=str)
+    counts = [("a", *[None] * 6, 50), ("b", *[None] * 6, 10)]
+    assert got == sorted(want + counts, key=str)
+    marks = [(1, 0, 100, -1), (1, 1, -1, 900), (1, 1, -1, 950), (2, 5, 0, 400)]
+    df = spark.createDataFrame(marks, "recording string, idx int, start_ms bigint, end_ms bigint")
+    df.coalesce(1).write.parquet(f"{tmp_path}/m")
+    q = S.segments_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/m"), counted=True).writeStream.format("memory").queryName("counted").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    assert q.awaitTermination(100)
+    assert sorted(map(tuple, spark.table("counted").collect()), key=str) == [("1", 100, 900, None), ("1", None, None, 1), ("2", 0, 400, None)]
+
+
 def test_two_means_and_refinement(spark):
     near = np.array([[1.0, 0.1], [0.1, 1.0], [1.0, 0.0], [0.0, 1.0]])
     labels = speech.two_means(near)
