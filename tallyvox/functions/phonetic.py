@@ -8,14 +8,17 @@ ships with Spark, read once on the driver; the table has a fixed size.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections import deque
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvox.settings import DIALECT
+from tallyvox.shipping import Sent
 
 FIRST, LAST = 0x4E00, 0x9FFF
 #: Phrases whose reading differs from that of their characters alone.
@@ -106,23 +109,76 @@ def _restored(of, phrases) -> Encoder:
     return e
 
 
+class Pattern:
+    """A sequence of reading sets, ready to be aligned with others: for each reading the places that have it, as bits of one integer."""
+
+    def __init__(self, tokens: Sequence[frozenset]):
+        self.n, self.places = len(tokens), {}
+        for i, readings in enumerate(tokens):
+            for r in readings:
+                self.places[r] = self.places.get(r, 0) | 1 << i
+
+    def costs(self, other: Sequence[frozenset], anywhere: bool) -> Iterator[int]:
+        """The edits between the whole pattern and each prefix of other, from the empty one on; anywhere: of the prefix only its best ending counts.
+
+        A column of the edit table is two bit vectors: where a cell is one more than the one above it, and where one less. A column follows from
+        the one before in a few operations on whole integers, whatever the pattern's length; places match where the sets share a reading.
+        """
+        top, full, first = 1 << self.n >> 1, (1 << self.n) - 1, 0 if anywhere else 1
+        more, less, cost, places = full, 0, self.n, self.places.get
+        yield cost
+        if not self.n:
+            yield from (first * (j + 1) for j in range(len(other)))
+            return
+        for readings in other:
+            equal = 0
+            for r in readings:
+                equal |= places(r, 0)
+            diagonal = (((equal & more) + more) ^ more) | equal
+            right_more, right_less = less | (full & ~(diagonal | more)), more & diagonal
+            if right_more & top:
+                cost += 1
+            elif right_less & top:
+                cost -= 1
+            yield cost
+            right_more, right_less = right_more << 1 | first, right_less << 1
+            straight = equal | less
+            more, less = (right_less | ~(straight | right_more)) & full, right_more & straight & full
+
+    def distance(self, other: Sequence[frozenset], limit: int | None = None) -> int:
+        """The edits between both; with a limit, limit + 1 as soon as they are known to be more."""
+        if limit is None:
+            return deque(self.costs(other, False), 1)[0]
+        left = len(other)
+        if abs(self.n - left) > limit:
+            return limit + 1
+        for cost in self.costs(other, False):
+            if cost - left > limit:
+                return limit + 1
+            left -= 1
+        return min(cost, limit + 1)
+
+    def within(self, other: Sequence[frozenset]) -> int:
+        """The least edits between the pattern and any part of other."""
+        best = self.n
+        for cost in self.costs(other, True):
+            if cost < best:
+                best = cost
+                if not best:
+                    break
+        return best
+
+
 def _alignment(a: Sequence[frozenset], b: Sequence[frozenset], anywhere: bool) -> np.ndarray:
     """The last row of the edit table of a against b: costs of all of a against each prefix of b.
 
     anywhere: an alignment may begin at any place of b for nothing.
     """
-    steps = np.arange(len(b) + 1)
-    row = np.zeros(len(b) + 1, dtype=np.int64) if anywhere else steps.copy()
-    for x in a:
-        differs = np.fromiter((x.isdisjoint(y) for y in b), dtype=np.int64, count=len(b))
-        above = row + 1
-        above[1:] = np.minimum(above[1:], row[:-1] + differs)
-        row = np.minimum.accumulate(above - steps) + steps  # steps to the right cost one each
-    return row
+    return np.fromiter(Pattern(a).costs(b, anywhere), dtype=np.int64, count=len(b) + 1)
 
 
 def edit_distance(a: Sequence[frozenset], b: Sequence[frozenset]) -> int:
-    return int(_alignment(a, b, False)[-1])
+    return Pattern(a).distance(b)
 
 
 def similarity(a: Sequence[frozenset], b: Sequence[frozenset]) -> float:
@@ -135,7 +191,7 @@ def containment(needle: Sequence[frozenset], hay: Sequence[frozenset]) -> float:
     """How well the needle stands anywhere in the hay; 1 for an empty needle, else 0 in an empty hay."""
     if not needle or not hay:
         return float(not needle)
-    return max(0.0, 1.0 - int(_alignment(needle, hay, True).min()) / len(needle))
+    return max(0.0, 1.0 - Pattern(needle).within(hay) / len(needle))
 
 
 def contains(encoder: Encoder, needle: str, hay: str, threshold: float = 0.75) -> tuple[bool, float]:
@@ -143,6 +199,18 @@ def contains(encoder: Encoder, needle: str, hay: str, threshold: float = 0.75) -
     return score >= threshold, score
 
 
+def similarities(pairs: DataFrame, encoder: Encoder, a: str, b: str, to: str = "similarity") -> DataFrame:
+    """pairs with the similarity of two columns of normalised texts; null where one is null. One Arrow pass."""
+    sent = Sent(pairs.sparkSession, encoder)  # the syllable table: a fixed size
+
+    @F.pandas_udf("double")
+    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
+        encode = sent.value.encode
+        return pd.Series([None if s is None or t is None else similarity(encode(s), encode(t)) for s, t in zip(x, y)], dtype="float64")
+
+    return pairs.withColumn(to, similar(F.col(a), F.col(b)))
+
+
 def encoder_for(spark: SparkSession, dialect: Dialect | None = None) -> Encoder:
     return Encoder(syllables(spark), dialect)
 

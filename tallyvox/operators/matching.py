@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvox.functions.phonetic import Encoder, containment, similarity
+from tallyvox.operators.fuzzy import Index
 from tallyvox.operators.slots import Extractor, Slot
 from tallyvox.settings import Settings
 from tallyvox.shipping import Sent
@@ -34,6 +35,13 @@ class Matcher:
 
     def __init__(self, extractor: Extractor, encoder: Encoder, settings: Settings | None = None):
         self.extractor, self.encoder, self.settings = extractor, encoder, settings or Settings()
+        self.rivals = {group: Index(filter(None, values), encoder, self.settings.hit) for group, values in extractor.groups.items()}
+
+    def instead(self, value: str, group: str | None, text: str, than: float) -> str | None:
+        """The value of the group that stands in the text in place of the expected one: the most similar that reaches the threshold and beats it, the first of equals."""
+        index = self.rivals.get(group)
+        heard = [(-score, no) for no, score in index.found(text) if score is not None and score > than and index.needles[no] != value] if index else []
+        return index.needles[min(heard)[1]] if heard else None
 
     def alike(self, a: str, b: str) -> float:
         return similarity(self.encoder.encode(a), self.encoder.encode(b))
@@ -60,11 +68,8 @@ class Matcher:
         own = self.within(value, text)
         if own >= hit:
             return "HIT", own, None
-        rivals = [(self.within(v, text), -i, v) for i, v in enumerate(self.extractor.groups.get(group, [])) if v != value] if group else []
-        best = max(rivals, default=(0.0, 0, None))
-        if best[0] >= hit and best[0] > own:
-            return "CONFLICT", 0.0, best[2]
-        return "MISSING", own, None
+        other = self.instead(value, group, text, own)
+        return ("MISSING", own, None) if other is None else ("CONFLICT", 0.0, other)
 
     def verdict(self, score: float, outcomes: Sequence[dict]) -> tuple[str, list[str]]:
         told = [o for o in outcomes if o["outcome"] == "CONFLICT" or (o["outcome"] == "MISSING" and o["required"])]

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tallyvox.functions import phonetic
 from tallyvox.functions import text as T
 from tallyvox.functions.phonetic import encoder_for
 from tallyvox.functions.plain import normalised
-from tallyvox.operators import alignment, evaluation, lexicon, matching, slots, speech
+from tallyvox.operators import alignment, evaluation, fuzzy, lexicon, matching, slots, speech
 from tallyvox.plans import fixtures
 from tallyvox.settings import Settings
 from tallyvox.sources import reports, tickets
@@ -253,6 +254,35 @@ def align_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ticket_id", "idx", "kind", "seq", F.round("score", 6).alias("score"), "pointer")
 
 
+WORD_PAIRS_SQL = f"""{TURNS_SQL},
+q AS (SELECT DISTINCT unnest(regexp_extract_all(norm, '[a-z]{{12,}}')) AS needle FROM i)"""
+
+
+@query(f"""WITH {TURNS_SQL}
+SELECT ticket_id, idx, pos, round(greatest(0.0, 1.0 - levenshtein(norm, heard) / greatest(length(norm), length(heard), 1)), 6) AS similarity FROM u JOIN i USING (ticket_id)""")
+def phonetic_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC13, SC14 over all conversations: each answer against each question, where every character is its own reading."""
+    items, said = turns(spark, sf_dir)
+    scored = phonetic.similarities(matching.candidates(said, items), phonetic.Encoder({}, phonetic.Dialect({}), {}), "norm", "heard")
+    return scored.select("ticket_id", "idx", "pos", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""WITH {WORD_PAIRS_SQL},
+h AS (SELECT ticket_id, idx, heard, unnest(range(1, length(heard) + 1)) AS place FROM u),
+w AS (SELECT DISTINCT length(needle) AS n FROM q),
+g AS (SELECT DISTINCT n, substr(heard, place::BIGINT, size::BIGINT) AS part FROM (SELECT heard, place, n, unnest(range(n - n // 4, n + n // 4 + 1)) AS size FROM h, w) WHERE place + size - 1 <= length(heard)),
+s AS (SELECT needle, part, levenshtein(needle, part) AS d FROM q JOIN g ON g.n = length(needle) WHERE levenshtein(needle, part) <= length(needle) // 4),
+x AS (SELECT ticket_id, idx, needle, min(d) AS d FROM s JOIN u ON contains(heard, part) GROUP BY ALL)
+SELECT ticket_id, idx, needle, round(1.0 - d / length(needle), 6) AS similarity FROM x""")
+def fuzzy_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN4, SC15: every word of twelve letters and more in any question against every answer of all conversations."""
+    items, said = turns(spark, sf_dir)
+    needles = items.select(F.explode(F.regexp_extract_all("norm", F.lit("[a-z]{12,}"), F.lit(0))).alias("needle"))
+    texts = said.select(F.struct("ticket_id", "idx").alias("at"), F.col("heard").alias("text"))
+    found = fuzzy.contained(texts, needles, phonetic.Encoder({}, phonetic.Dialect({}), {}), "at")
+    return found.select("at.ticket_id", "at.idx", "needle", F.round("similarity", 6).alias("similarity"))
+
+
 # --- speech ------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyvox.functions import phonetic as P
 from tallyvox.functions.plain import normalised
+from tallyvox.operators import fuzzy
 from tallyvox.operators.matching import Matcher, best_per_utterance, candidates, in_window, scored_pairs
 from tallyvox.operators.slots import Extractor
 from tallyvox.plans import fixtures
@@ -107,6 +108,56 @@ def test_distances_against_brute_force():
         assert P.edit_distance(a, b) == P.edit_distance(b, a)
 
 
+def test_long_distances_and_limits():
+    draw = random.Random(2)
+    sets = [frozenset(c) for n in (1, 2, 3) for c in itertools.combinations("abcdef", n)]
+    for _ in range(60):
+        a, b = (tuple(draw.choice(sets) for _ in range(draw.randint(0, 150))) for _ in range(2))
+        whole, anywhere = plain_distance(a, b, False)[-1], min(plain_distance(a, b, True))
+        assert P.edit_distance(a, b) == whole and P.Pattern(a).within(b) == anywhere
+        for limit in (0, 1, whole - 1, whole, whole + 3):
+            if limit >= 0:
+                assert P.Pattern(a).distance(b, limit) == min(whole, limit + 1)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 0.9, 1.0])
+def test_fuzzy_index_against_brute_force(spark, threshold):
+    draw, e = random.Random(3), P.encoder_for(spark)
+    signs = "桥母线开关刀闸一幺二两三100123断路器远方就地知资"
+    needles = sorted({"".join(draw.choices(signs, k=draw.randint(1, 9))) for _ in range(150)})
+    index = fuzzy.Index(needles, e, threshold)
+    for _ in range(40):
+        text = "".join(draw.choices(signs, k=draw.randint(0, 25)))
+        got = {needles[no]: s for no, s in index.found(text) if s is not None}
+        want = {n: s for n in needles if (s := P.containment(e.encode(n), e.encode(text))) >= threshold}
+        assert got == want
+
+
+def test_fuzzy_join(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "BLOCK_NEEDLES", 7)
+    draw, e = random.Random(5), P.Encoder({}, P.Dialect({}), {})
+    words = ["".join(draw.choices("abcdefgh", k=draw.randint(4, 9))) for _ in range(40)]
+    texts = [(i, " ".join(draw.choices(words, k=8)).replace(draw.choice("abc"), draw.choice(["", "h"]))) for i in range(60)] + [(60, None), (61, "")]
+    needles = spark.createDataFrame([(w,) for w in [*words, *words[:5], None, ""]], "needle string")
+    df = spark.createDataFrame(texts, "id long, text string").selectExpr("*", "1 AS similarity", "'n' AS needle")
+    got = {(r.id, r.needle): r.similarity for r in fuzzy.contained(df, needles, e, "id").collect()}
+    want = {(i, w): s for i, t in texts for w in set(words) if (s := P.containment(e.encode(w), e.encode(t or ""))) >= 0.75}
+    assert got == want and fuzzy.contained(df, needles.limit(0), e, "id").count() == 0
+
+
+def test_rivals_are_those_of_the_loop(matcher):
+    draw = random.Random(8)
+    said = [normalised(t) for t in fixtures.TICKET] + ["".join(draw.choices("远方就地并列解列合闸分断开投入拉退出检查位置", k=9)) for _ in range(60)]
+    for text in said:
+        for group, values in matcher.extractor.groups.items():
+            for value in values:
+                own = matcher.within(value, text)
+                scores = [(matcher.within(v, text), -i, v) for i, v in enumerate(values) if v != value]
+                best = max(scores, default=(0.0, 0, None))
+                want = best[2] if best[0] >= 0.75 and best[0] > own else None
+                assert matcher.instead(value, group, text, own) == want
+
+
 def test_dialect_and_readings(spark):
     e = P.encoder_for(spark)
     assert e.readable("女就地") == ["lv", "jiu", "di"] and e.readable("知资") == ["zi", "zi"] and e.readable("灰飞") == ["fei", "fei"]
