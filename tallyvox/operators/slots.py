@@ -2,12 +2,16 @@
 
 Layers of patterns claim spans in order; a span is claimed only if all of it is still free, so
 what an earlier layer took no later one can take. What stays free is the residual.
+
+The words of all layers, assets among them, are one trie with failure links: a text is read once, from left to right, whatever the number of words, and
+its finds are then claimed by layer, the longest words first.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +29,59 @@ def alternatives(terms: Iterable[str]) -> str:
     return "|".join(map(re.escape, terms)) or "(?!)"
 
 
+class Trie:
+    """Several words found in one pass over a text.
+
+    A state is the longest part read so far that begins any word. Where no arc goes on, its failure link leads to the state of the longest
+    end of that part which begins a word as well; its output link to the next shorter end that is a word.
+    """
+
+    def __init__(self, words: Iterable[str]):
+        self.arcs: dict[int, int] = {}  # from a state and a sign, in one number, to a state
+        self.word: list[str | None] = [None]
+        levels: list[list[tuple[int, int, int]]] = []
+        for word in words:
+            state = 0
+            for depth, sign in enumerate(map(ord, word)):
+                following = self.arcs.get(state << 21 | sign)
+                if following is None:
+                    following = self.arcs[state << 21 | sign] = len(self.word)
+                    self.word.append(None)
+                    if depth == len(levels):
+                        levels.append([])
+                    levels[depth].append((state, sign, following))
+                state = following
+            if state:
+                self.word[state] = word
+        self.fail, self.shorter = array("q", [0]) * len(self.word), array("q", [0]) * len(self.word)
+        for level in levels:  # a shorter end is known before it is needed
+            for state, sign, following in level:
+                end = self.step(self.fail[state], sign) if state else 0
+                self.fail[following] = end
+                self.shorter[following] = end if self.word[end] is not None else self.shorter[end]
+
+    def step(self, state: int, sign: int) -> int:
+        while state and state << 21 | sign not in self.arcs:
+            state = self.fail[state]
+        return self.arcs.get(state << 21 | sign, 0)
+
+    def finds(self, text: str) -> dict[str, list[int]]:
+        """The places of each word that occurs, as a search from left to right finds them that goes on after each find."""
+        found: dict[str, list[int]] = {}
+        state, arcs, word, shorter = 0, self.arcs, self.word, self.shorter
+        for end, sign in enumerate(map(ord, text), 1):
+            following = arcs.get(state << 21 | sign)
+            state = self.step(state, sign) if following is None else following
+            known = state if word[state] is not None else shorter[state]
+            while known:
+                w = word[known]
+                places = found.setdefault(w, [])
+                if not places or places[-1] + len(w) <= end - len(w):
+                    places.append(end - len(w))
+                known = shorter[known]
+        return found
+
+
 class Extractor:
     """normalise projects the word lists into the space of the texts; a plain function of strings."""
 
@@ -53,6 +110,12 @@ class Extractor:
             ("panel", None, listed(words.panels)),
             ("state", None, listed(words.states)),
         ]
+        #: Which layers a word stands in, and the order in which words are claimed: by layer, the longest first.
+        self.places = {}
+        for no, (_, _, terms) in enumerate(self.layers):
+            for rank, term in enumerate(terms):
+                self.places.setdefault(term, []).append((no, rank))
+        self.trie = Trie(self.places)
         #: The values of each exclusive group, for telling a wrong word from a missing one.
         self.groups = {"position": positions, "object": self.layers[0][2], "handle": self.layers[1][2], "action": actions, "check_type": self.layers[4][2]}
 
@@ -70,13 +133,12 @@ class Extractor:
             claim(*m.span(1), ("position", m[1], "position", *m.span(1)))
         for m in self.voltage.finditer(text):
             claim(*m.span(), ("voltage", m[0], "voltage", *m.span()))
-        for name, group, terms in self.layers:
-            for term in terms:
-                at = text.find(term)
-                while at >= 0:
-                    if not (name == "position" and term == "合闸" and text[:at].endswith("重")):
-                        claim(at, at + len(term), (name, term, group, at, at + len(term)))
-                    at = text.find(term, at + len(term))
+        places = self.trie.finds(text)
+        for no, _, term in sorted((no, rank, term) for term in places for no, rank in self.places[term]):
+            name, group, _ = self.layers[no]
+            for at in places[term]:
+                if not (name == "position" and term == "合闸" and text[:at].endswith("重")):
+                    claim(at, at + len(term), (name, term, group, at, at + len(term)))
         for pattern in self.devices:
             for start, end in self.gaps(free):
                 for m in pattern.finditer(text[start:end]):
@@ -106,3 +168,20 @@ def with_slots(texts: DataFrame, extractor: Extractor, column: str = "norm", to:
         return norm.map(lambda t: found.get(t, []))
 
     return texts.withColumn(to, extract(F.col(column)))
+
+
+def occurrences(texts: DataFrame, words: Sequence[str], key: str, text: str = "text") -> DataFrame:
+    """key, word, n of every word that a text holds: how often a search from left to right finds it, words of different lengths independently. One pass over each text; null holds none."""
+    sent = Sent(texts.sparkSession, Trie(sorted(set(words) - {""})))  # as large as the list of words, which the caller holds
+
+    def scan(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows: list[tuple[int, str, int]] = []
+            for i, value in enumerate(batch.column(1)):
+                rows += [(i, word, len(places)) for word, places in sent.value.finds(value.as_py() or "").items()]
+            at, found, n = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(n, pa.int64())], names=[key, "word", "n"])
+
+    return texts.select(F.col(key), F.col(text).alias("text")).mapInArrow(scan, f"{key} {texts.schema[key].dataType.simpleString()}, word string, n bigint")

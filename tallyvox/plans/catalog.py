@@ -173,6 +173,26 @@ def slots_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.posexplode("slots").alias("place", "s")).select("place", "s.name", "s.value")
 
 
+def long_words(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The assets of the sample: words of six letters and more of the benchmark, at most MOST_ASSETS of them."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{6,}"), F.lit(0))).alias("word")).distinct()
+    found = [r.word for r in words.limit(MOST_ASSETS + 1).collect()]
+    if len(found) > MOST_ASSETS:
+        raise ValueError("too many assets for one trie")
+    return found
+
+
+MOST_ASSETS = 100_000  # of one trie, which goes to all tasks
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{6,}')) AS word FROM benchmark)
+SELECT word, count(*) AS texts, sum((length(text) - length(replace(text, word, ''))) // length(word))::BIGINT AS places FROM documents, w WHERE contains(text, word) GROUP BY word""")
+def asset_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EX1, TK2, SRC8: the benchmark's long words as assets, found in all documents in one pass."""
+    found = slots.occurrences(table(spark, sf_dir, "documents"), long_words(spark, sf_dir), "doc_id")
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("places"))
+
+
 STEPS = [(fixtures.TICKET[0], "CALLER", "VERIFIED", 1, 1), (fixtures.TICKET[0], "OPERATOR", "REPEAT", 1, 1), ("今天天气真好啊", "OPERATOR", "CHATTER", None, 1), (fixtures.TICKET[2], "OPERATOR", "SKIP_WARNING", 3, 3), ("拉开110kV桥200开关", "OPERATOR", "FAILED", 3, 3), (fixtures.TICKET[2], "OPERATOR", "REPEAT", 3, 3), (fixtures.TICKET[3], "CALLER", "VERIFIED", 4, 4)]
 
 

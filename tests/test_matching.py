@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from tallyvox.functions import phonetic as P
 from tallyvox.functions.plain import normalised
 from tallyvox.operators import fuzzy
 from tallyvox.operators.matching import Matcher, best_per_utterance, candidates, in_window, scored_pairs
-from tallyvox.operators.slots import Extractor
+from tallyvox.operators.slots import Extractor, Trie, occurrences
 from tallyvox.plans import fixtures
 from tallyvox.settings import Settings
 
@@ -88,6 +89,57 @@ def test_assets_and_confirmed_positions():
     assert e.extract("") == []
 
 
+def loop_claims(e, text):
+    """The word layers claimed by a search for each word, after the switches, confirmations and voltages."""
+    free, found = [True] * len(text), []
+
+    def claim(a, b, slot=None):
+        if all(free[a:b]):
+            free[a:b] = [False] * (b - a)
+            found.extend([slot] if slot else [])
+
+    for pattern, group in ((e.switch, 0), (e.confirmed, 1), (e.voltage, 0)):
+        for m in pattern.finditer(text):
+            claim(*m.span(group))
+    for name, group, terms in e.layers:
+        for term in terms:
+            at = text.find(term)
+            while at >= 0:
+                if not (name == "position" and term == "合闸" and text[:at].endswith("重")):
+                    claim(at, at + len(term), (name, term, group, at, at + len(term)))
+                at = text.find(term, at + len(term))
+    return found
+
+
+def test_trie_claims_what_a_loop_over_words_claims():
+    draw = random.Random(11)
+    signs = "合闸重远方就地开关母线桥1aab"
+    for _ in range(30):
+        assets = {"".join(draw.choices(signs, k=draw.randint(1, 5))) for _ in range(60)}
+        e = Extractor(normalised, assets)
+        for _ in range(20):
+            text = "".join(draw.choices(signs, k=draw.randint(0, 40)))
+            words = {name for name, _, _ in e.layers}
+            got = {s for s in e.extract(text) if s[0] in words}
+            assert set(loop_claims(e, text)) <= got
+            # what else is there comes from patterns
+            assert all(s in loop_claims(e, text) or s[0] in ("action", "position", "device") for s in got)
+
+
+def test_trie_finds_every_word(spark):
+    draw = random.Random(12)
+    words = {"".join(draw.choices("abc", k=draw.randint(1, 6))) for _ in range(200)}
+    texts = [(i, "".join(draw.choices("abcd", k=draw.randint(0, 80)))) for i in range(50)] + [(50, None), (51, "")]
+    df = spark.createDataFrame(texts, "id long, text string").selectExpr("*", "'w' AS word", "1 AS n")
+    got = {(r.id, r.word): r.n for r in occurrences(df, [*words, ""], "id").collect()}
+    assert got == {(i, w): n for i, t in texts for w in words if (n := (t or "").count(w))}
+    many = Trie("".join(draw.choices("abcdefghij", k=12)) for _ in range(50_000))
+    text = "".join(draw.choices("abcdefghij", k=200_000))
+    began = time.perf_counter()
+    many.finds(text)
+    assert time.perf_counter() - began < 3  # a loop over the words takes some 50,000 x 20 microseconds at least
+
+
 def plain_distance(a, b, anywhere):
     row = [0 if anywhere else j for j in range(len(b) + 1)]
     for x in a:
