@@ -110,6 +110,37 @@ def test_streams_of_marks_and_energies_carry_state_and_count_what_they_drop(spar
     assert sorted(map(tuple, spark.table("counted").collect()), key=str) == [("1", 100, 900, None), ("1", None, None, 1), ("2", 0, 400, None)]
 
 
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_most_apart_against_the_full_matrix(spread):
+    draw = np.random.default_rng(3)
+    for n, block in ((2, 3), (40, 7), (300, 32), (300, 1000)):
+        centres = draw.normal(size=(3, 8))
+        unit = speech.directions(centres[draw.integers(0, 3, n)] + spread * draw.normal(size=(n, 8)))
+        i, j = speech.most_apart(unit, block)
+        near = unit @ unit.T
+        assert i < j and near[i, j] == pytest.approx(near.min(), abs=1e-12)
+    ties = speech.directions(np.array([[1.0, 0], [0, 1], [1, 0], [0, 1]]))
+    assert speech.most_apart(ties, 2) == (0, 1) and speech.most_apart(np.ones((3, 2)) / 2**0.5) is None and speech.most_apart(np.zeros((2, 2))) == (0, 1)
+
+
+def test_two_means_against_a_plain_loop():
+    draw = np.random.default_rng(5)
+    for n in (4, 9, 60):
+        vectors = draw.normal(size=(n, 5))
+        unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+        sims = [(float(unit[i] @ unit[j]), i, j) for i in range(n) for j in range(i + 1, n)]
+        _, i, j = min(sims)
+        a, b, labels = unit[i], unit[j], [0] * n
+        for _ in range(20):
+            new = [int(u @ b > u @ a) for u in unit]
+            if new == labels:
+                break
+            labels = new
+            sides = [[u for u, k in zip(unit, labels) if k == side] for side in (0, 1)]
+            a, b = ((sum(own) / np.linalg.norm(sum(own))) if own else old for own, old in zip(sides, (a, b)))
+        assert speech.two_means(vectors).tolist() == labels
+
+
 def test_two_means_and_refinement(spark):
     near = np.array([[1.0, 0.1], [0.1, 1.0], [1.0, 0.0], [0.0, 1.0]])
     labels = speech.two_means(near)
