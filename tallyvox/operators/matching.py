@@ -18,6 +18,7 @@ from tallyvox.operators.fuzzy import Index
 from tallyvox.operators.slots import Extractor, Slot
 from tallyvox.settings import Settings
 from tallyvox.shipping import Sent
+from tallyvox.tables import free_name
 
 WEAK = "匹配证据偏弱，未发现必要槽位矛盾"
 OUTCOMES = "array<struct<name: string, value: string, outcome: string, score: double, required: boolean, weight: double, heard: string>>"
@@ -120,6 +121,20 @@ def candidates(utterances: DataFrame, items: DataFrame) -> DataFrame:
     return utterances.repartition(parts, "ticket_id").join(items.repartition(parts, "ticket_id"), "ticket_id")
 
 
+def band_candidates(utterances: DataFrame, items: DataFrame, settings: Settings, pointer: str = "pointer", pos: str = "pos") -> DataFrame:
+    """The items from lookback before to lookahead after each utterance's pointer, joined by stretches of positions.
+
+    Positions fall into stretches as long as the band, so an utterance meets two of them at most and the join gives rows in proportion to the band, however long a ticket is.
+    """
+    width = settings.lookback + settings.lookahead + 1
+    stretch = free_name(utterances, free_name(items, "_stretch"))
+    reached = F.sequence(F.floor((F.col(pointer) - settings.lookback) / width), F.floor((F.col(pointer) + settings.lookahead) / width))
+    parts = int(utterances.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    said = utterances.filter(F.col(pointer).isNotNull()).withColumn(stretch, F.explode(reached)).repartition(parts, "ticket_id", stretch)
+    placed = items.withColumn(stretch, F.floor(F.col(pos) / width)).repartition(parts, "ticket_id", stretch)
+    return in_window(said.join(placed, ["ticket_id", stretch]), settings, pointer, pos).drop(stretch)
+
+
 def in_window(pairs: DataFrame, settings: Settings, pointer: str = "pointer", pos: str = "pos") -> DataFrame:
     """Only the items from lookback before to lookahead after the pointer."""
     return pairs.filter(F.col(pos).between(F.col(pointer) - settings.lookback, F.col(pointer) + settings.lookahead))
@@ -127,8 +142,9 @@ def in_window(pairs: DataFrame, settings: Settings, pointer: str = "pointer", po
 
 def best_per_utterance(pairs: DataFrame, key: Sequence[str], score: str = "score", pos: str = "pos") -> DataFrame:
     """The best candidate of each utterance; of equal scores the one with the lowest position."""
+    to = free_name(pairs, "_place")
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(score), F.asc(pos)))
-    return pairs.withColumn("_place", place).filter("_place = 1").drop("_place")
+    return pairs.withColumn(to, place).filter(F.col(to) == 1).drop(to)
 
 
 def outcomes_of(matches: DataFrame) -> DataFrame:

@@ -122,11 +122,10 @@ SELECT ticket_id, idx, arg_max(pos, (score, -pos)) AS pos, max(score) AS score,
 def match_best_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN1, JN2, TK1, FLT4: each utterance against the items near its place, the best one, ties to the lowest position."""
     items, said = turns(spark, sf_dir)
-    pairs = matching.in_window(matching.candidates(said.withColumn("pointer", F.col("idx")), items), Settings(lookback=2, lookahead=2))
+    pairs = matching.band_candidates(said.withColumn("pointer", F.col("idx")), items, Settings(lookback=2, lookahead=2))
     longest = F.greatest(F.length("norm"), F.length("heard"), F.lit(1))
     scored = pairs.withColumn("score", F.round(F.greatest(F.lit(0.0), 1.0 - F.levenshtein("norm", "heard") / longest), 6))
-    best = scored.groupBy("ticket_id", "idx").agg(F.max_by(F.col("pos"), F.struct("score", -F.col("pos"))).alias("pos"), F.max("score").alias("score"))
-    return best.select("ticket_id", "idx", "pos", "score", (F.col("score") < 0.45).alias("chatter"))
+    return matching.best_per_utterance(scored, ["ticket_id", "idx"]).select("ticket_id", "idx", "pos", "score", (F.col("score") < 0.45).alias("chatter"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
