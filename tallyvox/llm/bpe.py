@@ -38,7 +38,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PLAIN = re.compile("[\x00-\x7fÀ-ɏ]*")
 UNEVEN = ["  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f"]
 #: What a process remembers is bounded in fragments and in the characters of one.
-KNOWN_FRAGMENTS, LONGEST_KNOWN = 250_000, 64
+KNOWN_FRAGMENTS, LONGEST_KNOWN = 80_000, 64
 LONGEST_FAST = 1000
 
 

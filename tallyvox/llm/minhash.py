@@ -46,7 +46,7 @@ BANDS = BUCKETS // ROWS
 MISS = 1e-7
 BLOCK = 128
 #: What a process remembers is bounded in words and in the bytes of one.
-KNOWN_WORDS, LONGEST_KNOWN = 250_000, 64
+KNOWN_WORDS, LONGEST_KNOWN = 80_000, 64
 U = np.uint64
 # Odd multipliers from one generator; any fixed ones do.
 ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
