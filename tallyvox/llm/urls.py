@@ -27,7 +27,7 @@ from tallyvox.llm.tables import matched, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SUPPORT, CONFIDENCE, LIFT = 0.002, 0.9, 1.2
-WIDE = 10  # tokens of one basket that are combined at once
+WIDE = 10  # tokens of one basket that FP-growth combines at once; others are split by their rarest tokens first
 #: Fixed values of the contract: verdict, host, path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -79,56 +79,90 @@ def single_tokens(rows: DataFrame, least: int) -> DataFrame:
     return written(rows.sparkSession, found, "tokens")
 
 
-def in_groups(baskets: DataFrame, wide: int) -> DataFrame:
-    """part, items: baskets (id, verdict, leaders) cut so that none holds more than `wide` tokens.
+def least_shared(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """keys, by (verdict and n), n in all of those that stand `least` times with a verdict; counts: keys, verdict, n."""
+    every = F.collect_list(F.struct("verdict", "n"))  # as many as there are verdicts
+    return counts.groupBy(*keys).agg(every.alias("by"), F.sum("n").alias("n")).filter(F.exists("by", lambda v: v["n"] >= least))
+
+
+def split_by_first(rows: DataFrame, prefixes: DataFrame, reach: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every row once for each of its tokens, with the later ones it can still be combined with.
 
-    Tokens are dealt to groups; each basket is given out once for every group and every pair of groups of which it has tokens,
-    so any two tokens of a basket meet in one part. If no basket is wider than `wide`, all is one group.
+    rows: no, rest, verdict; prefixes: no, prefix (the tokens that all rows of the number have had); reach: no, token, n (the rows
+    of the number with the token). Returns the combinations of prefix and two more tokens (prefix, by, n) and rows, prefixes and reach
+    of the next step. A pair isn't followed if its rows have one verdict, or are all the rows of either of its tokens: no longer
+    combination with it is then surer than one of fewer tokens.
     """
-    widest = baskets.agg(F.max(F.size("leaders"))).first()[0] or 0
-    if widest <= wide:
-        return baskets.filter("size(leaders) > 1").select(F.lit("").alias("part"), "leaders", "verdict")
-    groups = 1
-    while widest > wide // 2:
-        groups *= 2
-        dealt = baskets.select("id", F.explode("leaders").alias("t")).groupBy("id", F.pmod(F.xxhash64("t"), F.lit(groups)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-        widest = dealt.agg(F.max("n")).first()[0]
-    group = lambda t: F.pmod(F.xxhash64(t), F.lit(groups))
-    there = F.array_sort(F.array_distinct(F.transform("leaders", group)))
-    pairs = F.flatten(F.transform("there", lambda i: F.transform(F.filter("there", lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    cut = baskets.select("leaders", "verdict", there.alias("there")).select("leaders", "verdict", F.explode(pairs).alias("p"))
-    own = F.filter("leaders", lambda t: group(t).isin(F.col("p.i"), F.col("p.j")))
-    return cut.select(F.concat_ws(".", "p.i", "p.j").alias("part"), own.alias("leaders"), "verdict").filter("size(leaders) > 1")
-
-
-def combinations(baskets: DataFrame, least: int, wide: int) -> DataFrame:
-    """antecedent (two or more leaders, sorted), says, n_says, n of the combinations that stand `least` times with a verdict, by FP-growth."""
-    spark = baskets.sparkSession
-    parts = in_groups(baskets, wide)
-    mark = lambda x: F.concat("part", F.lit("|"), x)
-    marked = written(spark, parts.select(F.concat(F.transform("leaders", lambda t: mark(F.concat(F.lit("t"), t))), F.array(mark(F.concat(F.lit("="), "verdict")))).alias("items")), "baskets")
-    rows = marked.count()
-    if not rows:
-        return spark.createDataFrame([], "antecedent array<string>, says string, n_says bigint, n bigint")
+    spark = rows.sparkSession
+    firsts = rows.select("no", "verdict", "rest", F.posexplode("rest").alias("at", "first")).select("no", "first", "verdict", F.expr("slice(rest, at + 2, size(rest))").alias("rest")).filter("size(rest) > 0")
+    firsts = written(spark, firsts, "firsts")
+    counts = firsts.select("no", "first", "verdict", F.explode("rest").alias("second")).groupBy("no", "first", "second", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    shared = written(spark, least_shared(counts, ["no", "first", "second"], least), "pairs")
+    found = matched(shared, prefixes, ["no"], "inner").select(F.concat("prefix", F.array("first", "second")).alias("prefix"), "by", "n")
+    one, two = reach.select("no", F.col("token").alias("first"), F.col("n").alias("n_first")), reach.select("no", F.col("token").alias("second"), F.col("n").alias("n_second"))
+    open_ = matched(matched(shared.filter("size(by) > 1"), one, ["no", "first"], "inner"), two, ["no", "second"], "inner").filter("n < n_first and n < n_second").select("no", "first", "second", "n")
+    open_ = written(spark, open_, "open")
+    heads = written(spark, open_.groupBy("no", "first").agg(F.collect_list("second").alias("near")).withColumn("next", F.monotonically_increasing_id()), "heads")
+    rows = matched(firsts, heads, ["no", "first"], "inner").select(F.col("next").alias("no"), F.array_intersect("rest", "near").alias("rest"), "verdict").filter("size(rest) > 1")
+    next_ = heads.select("no", "first", "next")
+    prefixes = matched(next_, prefixes, ["no"], "inner").select(F.col("next").alias("no"), F.concat("prefix", F.array("first")).alias("prefix"))
+    reach = matched(open_, next_, ["no", "first"], "inner").select(F.col("next").alias("no"), F.col("second").alias("token"), "n")
+    return found, written(spark, rows, "rows"), written(spark, prefixes, "prefixes"), written(spark, reach, "reach")
+
+
+def grown(rows: DataFrame, prefixes: DataFrame, least: int) -> DataFrame:
+    """prefix, by, n of the combinations of a prefix and two or more of its rows' tokens, by FP-growth; each number's rows are counted apart."""
+    spark = rows.sparkSession
+    mark = lambda x: F.concat(F.col("no").cast("string"), F.lit("|"), x)
+    marked = written(spark, rows.select(F.concat(F.transform("rest", lambda t: mark(F.concat(F.lit("t"), t))), F.array(mark(F.concat(F.lit("="), "verdict")))).alias("items")), "baskets")
+    n = marked.count()
+    if not n:
+        return spark.createDataFrame([], "prefix array<string>, by array<struct<verdict:string,n:bigint>>, n bigint")
     # the support is a share of the baskets, so that it comes out at `least` of them
-    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / rows), minConfidence=1.0, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(marked)
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / n), minConfidence=1.0, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(marked)
     split = F.transform("items", lambda x: F.substring(x, F.instr(x, "|") + 1, F.length(x)))
-    sets = model.freqItemsets.filter("size(items) > 1").select(F.substring_index(F.col("items")[0], "|", 1).alias("part"), split.alias("items"), "freq")
-    sets = sets.select("part", "freq", F.array_sort(F.transform(F.filter("items", lambda x: x.startswith("t")), lambda x: F.substring(x, 2, F.length(x)))).alias("antecedent"), F.get(F.filter("items", lambda x: x.startswith("=")), F.lit(0)).alias("says"))
-    sets = written(spark, sets.filter("size(antecedent) > 1"), "itemsets")
-    alone = sets.filter("says is null").select("part", "antecedent", F.col("freq").alias("n"))
-    found = sets.filter("says is not null").join(alone, ["part", "antecedent"]).select("part", "antecedent", F.substring("says", 2, F.length("says")).alias("says"), F.col("freq").alias("n_says"), "n")
-    # a combination within one group is counted in that group's own part, where all its baskets are
-    return found.groupBy("antecedent", "says").agg(F.max("n_says").alias("n_says"), F.max("n").alias("n"))
+    sets = model.freqItemsets.filter("size(items) > 1").select(F.substring_index(F.col("items")[0], "|", 1).cast("bigint").alias("no"), split.alias("items"), "freq")
+    sets = sets.select("no", "freq", F.array_sort(F.transform(F.filter("items", lambda x: x.startswith("t")), lambda x: F.substring(x, 2, F.length(x)))).alias("more"), F.get(F.filter("items", lambda x: x.startswith("=")), F.lit(0)).alias("says"))
+    sets = written(spark, sets.filter("size(more) > 1"), "itemsets")
+    alone = sets.filter("says is null").select("no", "more", F.col("freq").alias("n"))
+    by = F.array(F.struct(F.substring("says", 2, F.length("says")).alias("verdict"), F.col("freq").alias("n"))).alias("by")
+    found = sets.filter("says is not null").select("no", "more", by).join(alone, ["no", "more"])
+    return matched(found, prefixes, ["no"], "inner").select(F.concat("prefix", "more").alias("prefix"), "by", "n")
+
+
+def combinations(baskets: DataFrame, sizes: DataFrame, least: int, wide: int) -> DataFrame:
+    """antecedent (two or more leaders, sorted), says, n_says, n of the combinations that stand `least` times with a verdict.
+
+    sizes: leader, n. As long as a basket holds more than `wide` tokens, all are split by their first token, rarest first, which
+    leaves out only what can't be part of a rule that is kept; FP-growth mines the rest. Counts are of all baskets.
+    """
+    spark = baskets.sparkSession
+    digits = 19
+    named = F.concat(F.lpad(F.col("n").cast("string"), digits, "0"), "leader")  # sorts the rarest first
+    sizes = written(spark, sizes.select("leader", "n", named.alias("token")), "sizes")
+    rows = matched(baskets.select("id", "verdict", F.explode("leaders").alias("leader")), sizes, ["leader"], "inner").groupBy("id", "verdict").agg(F.array_sort(F.collect_list("token")).alias("rest"))
+    rows = written(spark, rows.filter("size(rest) > 1").select(F.lit(0).cast("bigint").alias("no"), "rest", "verdict"), "rows")
+    prefixes, reach = spark.createDataFrame([(0, [])], "no bigint, prefix array<string>"), sizes.select(F.lit(0).cast("bigint").alias("no"), "token", "n")
+    every = []
+    while (rows.agg(F.max(F.size("rest"))).first()[0] or 0) > wide:
+        found, rows, prefixes, reach = split_by_first(rows, prefixes, reach, least)
+        every.append(written(spark, found, "found"))
+    every.append(grown(rows, prefixes, least))
+    out = every[0]
+    for more in every[1:]:
+        out = out.unionByName(more)
+    bare = F.array_sort(F.transform("prefix", lambda x: F.substring(x, digits + 1, F.length(x))))
+    return out.select(bare.alias("antecedent"), "n", F.explode("by").alias("v")).filter(F.col("v.n") >= least).select("antecedent", F.col("v.verdict").alias("says"), F.col("v.n").alias("n_says"), "n")
 
 
 def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, wide: int = WIDE) -> DataFrame:
     """Pruned rules from labelled (tokens, verdict), see RULE: a URL fits if of each of `members` it has a token; one row for each anchor.
 
-    Work is bounded, since combinations are pruned before they are mined: a token whose rows all have one verdict can't be
-    part of a longer rule that is surer; tokens that always stand together are one; and no basket has more than
-    `wide` of the remaining ones, so there are at most 2^wide / support combinations in a part. If a URL has more,
-    combinations of two are still all mined, longer ones within any two groups of tokens.
+    Combinations are pruned before they are mined: a token whose rows all have one verdict can't be part of a longer rule
+    that is surer, and tokens that always stand together are one. Baskets of more than `wide` of the remaining tokens
+    don't change the result: all are then split by their rarest tokens, and what is left out can't give a rule that is kept. So work grows with the
+    combinations that stand often enough, have both verdicts and are narrower than each of their parts, and FP-growth never meets
+    more than 2^wide sets of a basket.
     """
     spark = labelled.sparkSession
     rows = written(spark, labelled.select(F.monotonically_increasing_id().alias("id"), F.array_distinct("tokens").alias("tokens"), "verdict"), "labelled")
@@ -141,19 +175,20 @@ def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CON
     leaders = written(spark, singles.filter("leader is not null").select("token", "leader").distinct(), "leaders")
     shared = matched(rows.select("id", "verdict", F.explode("tokens").alias("token")), leaders, ["token"], "inner")
     baskets = written(spark, shared.groupBy("id", "verdict").agg(F.collect_set("leader").alias("leaders")), "baskets")
-    both = combinations(baskets, least, wide)
+    both = combinations(baskets, singles.filter("token = leader").select("leader", "n").distinct(), least, wide)
     one = singles.filter((F.col("n_says") >= least)).select(F.array("token").alias("antecedent"), "says", "n_says", "n")
     sure = F.when((F.col("n_says") / F.col("n") >= confidence) & (F.col("n_says") / F.col("n") / F.col("prior") >= lift), F.col("n_says") / F.col("n"))
     sets = one.unionByName(both).join(F.broadcast(prior), "says").select("antecedent", "says", sure.alias("confidence"), (F.col("n_says") / total).alias("support"), "n")
     sets = written(spark, sets, "itemsets")
-    # a rule is redundant if one of fewer of its tokens is as sure; upwards by length, each from those one shorter
+    # a rule is redundant if one of fewer of its tokens is as sure; upwards by length, each from those one shorter. If one of those is
+    # missing it was left out as of one verdict or as wide as a part of it, and so the longer rule is redundant too
     kept, longest = sets.filter("size(antecedent) = 1 and confidence is not null"), sets.agg(F.max(F.size("antecedent"))).first()[0] or 0
     best = sets.filter("size(antecedent) = 1").select("antecedent", "says", F.col("confidence").alias("best"))
     for size in range(2, longest + 1):
         own = sets.filter(F.size("antecedent") == size)
         less = own.select(F.col("antecedent").alias("whole"), "says", F.explode("antecedent").alias("gone")).select("whole", "says", F.array_remove("whole", F.col("gone")).alias("antecedent"))
-        under = less.join(best, ["antecedent", "says"]).groupBy(F.col("whole").alias("antecedent"), "says").agg(F.max("best").alias("under"))
-        own = written(spark, own.join(under, ["antecedent", "says"], "left"), "rules")
+        under = less.join(best, ["antecedent", "says"]).groupBy(F.col("whole").alias("antecedent"), "says").agg(F.max("best").alias("under"), F.count(F.lit(1)).alias("parts")).filter(F.col("parts") == size).drop("parts")
+        own = written(spark, own.join(under, ["antecedent", "says"]), "rules")
         kept = kept.unionByName(own.filter("confidence > coalesce(under, 0)").drop("under"))
         best = own.select("antecedent", "says", F.greatest("confidence", "under").alias("best"))
     kept = written(spark, kept.withColumn("id", F.monotonically_increasing_id()), "rules")
