@@ -6,9 +6,13 @@ against those without it, from counts over all training documents (whole texts;
 language weighs the same, however many documents it has). A text's margin for a
 bit is the mean log-odds of its trigrams. Decoding takes the codeword with the smallest
 loss-weighted distance, where a bit's weight is the divergence of its two sides. A text is
-flagged as ambiguous if the runner-up is near or too many bits disagree.
+flagged as ambiguous if the runner-up is near, if too many bits disagree, or if it is mixed: of its
+segments of SEGMENT trigrams, each decoded by itself, too many are nearest to another codeword.
+Segments in no learned language have no say, and texts of less than two segments aren't asked for them.
 
-What reaches the driver are the summed counts: at most CELLS numbers for each language.
+What reaches the driver are the summed counts: at most CELLS numbers for each of at most LANGUAGES
+languages, those with the most labelled documents (ties: the one that sorts first); others aren't learned. A text is
+read in blocks, so it takes a few times its own size in memory, whatever the number of languages.
 
 A text is in no learned language if even the language that fits best makes its trigrams less likely
 than if all cells were equally so. Such a text, a null one and one without a letter are
@@ -34,19 +38,29 @@ FLOOR = 0.01  # of a language's trigrams, spread over all cells, where the fit o
 #: How many times a text's mean log-odds counts, as if so many trigrams were independent evidence.
 EVIDENCE = 20.0
 AMBIGUOUS_SCORE = 0.6
+SEGMENT, BLOCK = 128, 1 << 15  # trigrams that are decoded by themselves, and that are looked up at once
+MIXED = 0.2  # share of the segments in other languages from which a text is flagged
+LANGUAGES = 256
 UNDETERMINED = "und"
 
 # ASCII letters lower-cased, other ASCII to a space, bytes of other characters as they are.
 FOLDED = bytes((b | 0x20) if chr(b).isalpha() and b < 128 else b if b >= 128 else 0x20 for b in range(256))
 
 
-def cells(data: bytes) -> np.ndarray:
-    """The cells of the byte trigrams of a folded text; a space is put at both ends."""
-    b = np.frombuffer(b" " + data + b" ", dtype=np.uint8).astype(np.uint32)
+def trigrams(data: bytes) -> np.ndarray:
+    """The cells of the byte trigrams of data."""
+    b = np.frombuffer(data, dtype=np.uint8).astype(np.uint32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     return (code * np.uint32(0x9E3779B1)) >> np.uint32(17)
 
 
+def cells(data: bytes) -> Iterator[np.ndarray]:
+    """The cells of the byte trigrams of a folded text, block by block; a space is put at both ends."""
+    data = b" " + data + b" "
+    for at in range(0, len(data) - 2, BLOCK):
+        yield trigrams(data[at : at + BLOCK + 2])
+
+
 def folded(text: str) -> bytes:
     return (text if text.isascii() else text.lower()).encode("utf-8", "replace").translate(FOLDED)
 
@@ -63,7 +77,8 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(200):
         code = draw.choice(np.array([-1, 1], dtype=np.int8), (n, bits))
         code = code[:, np.abs(code.sum(axis=0, dtype=int)) < n]
-        near = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
+        alike = code.astype(int) @ code.T.astype(int)
+        near = ((code.shape[1] - alike[np.triu_indices(n, 1)]) // 2).min()
         if best is None or near > best[0]:
             best = near, code
     return best[1]
@@ -77,26 +92,42 @@ class Model:
     weight: np.ndarray  # bits
     fit: np.ndarray  # cells x languages: the log of how much likelier a cell is than if all were equally so
 
+    def losses(self, margins: np.ndarray) -> np.ndarray:
+        """The loss-weighted distance of each row of margins to each codeword."""
+        return np.logaddexp(0, -EVIDENCE * self.code[None] * margins[:, None, :]) @ self.weight
+
+    def read(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean log-odds by bit and mean fit by language of a folded text, and how many of its segments each language has."""
+        odds, fit, votes, n = np.zeros(self.code.shape[1]), np.zeros(len(self.languages)), np.zeros(len(self.languages), dtype=int), 0
+        data = b" " + data + b" "
+        for at in range(0, len(data) - 2, BLOCK):
+            of = trigrams(data[at : at + BLOCK + 2])
+            odds_of, fit_of = self.odds[of], self.fit[of]
+            whole = len(of) // SEGMENT * SEGMENT
+            if whole:
+                by = odds_of[:whole].reshape(whole // SEGMENT, SEGMENT, len(odds)).mean(axis=1, dtype=np.float64)
+                there = fit_of[:whole].reshape(whole // SEGMENT, SEGMENT, len(fit)).mean(axis=1, dtype=np.float64).max(axis=1) >= 0
+                votes += np.bincount(self.losses(by[there]).argmin(axis=1), minlength=len(votes))
+            odds += odds_of.sum(axis=0, dtype=np.float64)
+            fit += fit_of.sum(axis=0, dtype=np.float64)
+            n += len(of)
+        return odds / n, fit / n, votes
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        known = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         langs, scores, flags = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        for at in range(0, len(known), 64):
-            part, margins = [], []
-            for i in known[at : at + 64]:
-                of = cells(folded(texts[i]))
-                if self.fit[of].mean(axis=0, dtype=np.float64).max() >= 0:
-                    part.append(i)
-                    margins.append(self.odds[of].mean(axis=0))
-            if not part:
+        for i, text in enumerate(texts):
+            if not self.languages or not has_letter(text):
+                continue
+            margins, fit, votes = self.read(folded(text))
+            if fit.max() < 0:
                 continue
-            margins = np.array(margins).reshape(len(part), -1)
-            loss = np.logaddexp(0, -EVIDENCE * self.code[None] * margins[:, None, :]) @ self.weight
-            p = np.exp(loss.min(axis=1, keepdims=True) - loss)
-            p /= p.sum(axis=1, keepdims=True)
-            best = loss.argmin(axis=1)
-            wrong = ((np.sign(margins) != self.code[best]).sum(axis=1)) * 4 > self.code.shape[1]
-            for i, k, q, w in zip(part, best, p, wrong):
-                langs[i], scores[i], flags[i] = self.languages[k], float(q[k]), bool(q[k] < AMBIGUOUS_SCORE or w)
+            loss = self.losses(margins[None])[0]
+            p = np.exp(loss.min() - loss)
+            p /= p.sum()
+            best = int(loss.argmin())
+            wrong = (np.sign(margins) != self.code[best]).sum() * 4 > self.code.shape[1]
+            mixed = votes.sum() > 1 and votes.sum() - votes[best] >= MIXED * votes.sum()
+            langs[i], scores[i], flags[i] = self.languages[best], float(p[best]), bool(p[best] < AMBIGUOUS_SCORE or wrong or mixed)
         return langs, scores, flags
 
 
@@ -114,11 +145,12 @@ def counted(labelled: DataFrame) -> DataFrame:
                 if has_letter(text):
                     if lang not in sums:
                         sums[lang] = np.zeros(CELLS, dtype=np.int64)
-                    waiting.setdefault(lang, []).append(cells(folded(text)))
-                    held[lang] = held.get(lang, 0) + len(waiting[lang][-1])
-                    if held[lang] > 1_000_000:
-                        sums[lang] += np.bincount(np.concatenate(waiting.pop(lang)), minlength=CELLS)
-                        held[lang] = 0
+                    for of in cells(folded(text)):
+                        waiting.setdefault(lang, []).append(of)
+                        held[lang] = held.get(lang, 0) + len(of)
+                        if held[lang] > 65_536:
+                            sums[lang] += np.bincount(np.concatenate(waiting.pop(lang)), minlength=CELLS)
+                            held[lang] = 0
         for lang, some in waiting.items():
             sums[lang] += np.bincount(np.concatenate(some), minlength=CELLS)
         for lang, n in sums.items():
@@ -128,9 +160,11 @@ def counted(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(count, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
-def learned(labelled: DataFrame) -> Model:
-    """A model of the languages in labelled (lang, text); rows without a language or a letter teach nothing."""
-    counts = counted(labelled.filter(F.col("lang").isNotNull())).toPandas()
+def learned(labelled: DataFrame, languages: int = LANGUAGES) -> Model:
+    """A model of the `languages` most frequent languages in labelled (lang, text); rows without a language or a letter teach nothing."""
+    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    most = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = counted(labelled.join(F.broadcast(most.select("lang")), "lang", "left_semi")).toPandas()
     languages = sorted(counts["lang"].unique())
     p = np.zeros((max(len(languages), 1), CELLS))
     for i, lang in enumerate(languages):

@@ -50,6 +50,82 @@ def test_codewords_differ(n):
     assert len({tuple(c) for c in code.tolist()}) == n and (np.abs(code.sum(axis=0, dtype=int)) < n).all()
 
 
+def brute_language(rows, text):
+    """Language, score and flag of a text by dictionaries over the learned (lang, text) rows, trigram by trigram."""
+    cell = lambda g: ((int.from_bytes(g, "big") * 0x9E3779B1) % (1 << 32)) >> 17
+    grams = lambda t: [cell(d[i : i + 3]) for d in [b" " + langid.folded(t) + b" "] for i in range(len(d) - 2)]
+    langs = sorted({lang for lang, _ in rows})
+    count = {lang: Counter(g for of, t in rows if of == lang for g in grams(t)) for lang in langs}
+    share = {lang: [(count[lang][c] + 0.5) / (sum(count[lang].values()) + 0.5 * langid.CELLS) for c in range(langid.CELLS)] for lang in langs}
+    code = langid.codewords(len(langs)).tolist()
+    sides = [([i for i in range(len(langs)) if code[i][b] > 0], [i for i in range(len(langs)) if code[i][b] < 0]) for b in range(len(code[0]))]
+    mean = lambda some, c: sum(share[langs[i]][c] for i in some) / len(some)
+    weight = [sum((mean(p, c) - mean(q, c)) * math.log(mean(p, c) / mean(q, c)) for c in range(langid.CELLS)) for p, q in sides]
+    weight = [w * len(weight) / sum(weight) for w in weight]
+
+    def decoded(some):
+        margin = [sum(math.log(mean(p, c) / mean(q, c)) for c in some) / len(some) for p, q in sides]
+        loss = [sum(w * math.log1p(math.exp(-langid.EVIDENCE * x * m)) for w, x, m in zip(weight, word, margin)) for word in code]
+        best = loss.index(min(loss))
+        return best, 1 / sum(math.exp(min(loss) - x) for x in loss), sum((m > 0) - (m < 0) != x for m, x in zip(margin, code[best]))
+
+    def fits(some):
+        return max(sum(math.log((count[x][c] * langid.CELLS / sum(count[x].values()) + 0.01) / 1.01) for c in some) / len(some) for x in langs) >= 0
+
+    of = grams(text)
+    if not fits(of):
+        return "und", 0.0, True
+    best, score, wrong = decoded(of)
+    parts = [of[i : i + 128] for i in range(0, len(of) - 127, 128)]
+    votes = [decoded(x)[0] for x in parts if fits(x)]
+    mixed = len(votes) > 1 and sum(v != best for v in votes) >= 0.2 * len(votes)
+    return langs[best], score, score < 0.6 or wrong * 4 > len(code[0]) or mixed
+
+
+def test_decoding_equals_brute_force(spark):
+    rows = [(lang, text) for _, text, lang in corpus(["en", "de", "nl"])][:24]
+    model = langid.learned(spark.createDataFrame(rows, "lang string, text string"))
+    draw = np.random.default_rng(5)
+    texts = [" ".join(draw.choice(sum((WORDS[x].split() for x in some), []), n)) for some in (["en"], ["de"], ["en", "nl"], ["de", "nl"]) for n in (1, 3, 40)]
+    texts += [f"{rows[0][1]} {rows[1][1]}", "xyzzy qqq", "the", "é", f"{rows[0][1] * 2} 123 {rows[2][1]}"]
+    for text, lang, score, flag in zip(texts, *model.predict(texts)):
+        want = brute_language(rows, text)
+        assert (lang, flag) == (want[0], want[2]) and score == pytest.approx(want[1], rel=1e-4, abs=1e-6), text
+
+
+def test_mixtures_are_flagged(spark):
+    rows = corpus(["en", "de", "fr", "es"])
+    model = langid.learned(spark.createDataFrame([(lang, text) for _, text, lang in rows], "lang string, text string"))
+    some = {lang: " ".join(t for _, t, x in rows if x == lang) for lang in ("en", "de", "fr", "es")}
+    mixed = [some[a][:400] + " " + some[b][:400] for a in some for b in some if a < b]
+    assert all(model.predict(mixed)[2]) and not any(model.predict([t[:900] for t in some.values()])[2])
+
+
+def test_languages_are_bounded_and_blocks_change_nothing(spark, monkeypatch):
+    rows = [(lang, text) for _, text, lang in corpus(["en", "de", "fr"])] + [("it", "gli che della"), ("nl", "het een van"), ("nl", None), ("qq", "123")] + [("en", "the of and")] * 3
+    model = langid.learned(spark.createDataFrame(rows, "lang string, text string"), 3)
+    assert model.languages == ["de", "en", "fr"]
+    text = " ".join(t for _, t in rows[:60:3]) * 20
+    whole = model.predict([text])
+    monkeypatch.setattr(langid, "BLOCK", 256)
+    assert model.predict([text])[0] == whole[0] and model.predict([text])[1] == pytest.approx(whole[1])
+    tie = langid.learned(spark.createDataFrame([("b", "same words"), ("a", "same words")], "lang string, text string"))
+    assert tie.predict(["same words"])[0] == ["a"] and tie.predict(["same words"])[2] == [True]
+
+
+def test_a_very_long_text_takes_a_few_times_its_size(spark):
+    import tracemalloc
+
+    langs = [f"l{i:02}" for i in range(20)]
+    draw = np.random.default_rng(6)
+    model = langid.learned(spark.createDataFrame([(x, " ".join("".join(draw.choice(list("abcdefghij"), 5)) for _ in range(50))) for x in langs], "lang string, text string"))
+    text = "abcde fghij " * 400_000
+    tracemalloc.start()
+    model.predict([text])
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(text)
+    tracemalloc.stop()
+
+
 def brute(rows):
     """The automaton by dictionaries, token by token."""
     docs = [(i, (t or "").encode().lower().split() + ["END"]) for i, t in rows]
