@@ -6,8 +6,11 @@ inverted index over sequences of readings: a text looks up what is read at each
 then has less edits than pieces. So from each place found the runs that hold the piece are tried from the shortest to the longest, each by a bit-parallel edit distance over a window as much wider as its edits, and
 only where all of them fit the whole needle is verified. The score is exact wherever it reaches t.
 
-Needles go out in blocks of bounded size, each broadcast; the texts stay where they are. So nothing is shuffled, no key is hot, and work grows with the texts
-times the number of blocks. Needles are distinct texts; null or empty ones (which any text holds) are left out. A null text holds none.
+The join does the same on many texts at once: hits are arrays, a run is tried on all of its hits together, and needles share the runs that they have in common. The piece that stands
+unharmed holds a run in place, so the edits left and right of it are counted within a band that is as wide as they may be. The best of a needle's hits is exact.
+
+Needles go out in blocks of bounded size, each broadcast; the texts are dealt to as many tasks as are configured, since looking into them costs far more than reading them. No key is hot,
+and work grows with the texts times the number of blocks. Needles are distinct texts; null or empty ones (which any text holds) are left out. A null text holds none.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ from tallyvox.shipping import Sent
 KEY = 5
 #: Needles in a block, and their characters.
 BLOCK_NEEDLES, BLOCK_CHARS = 50_000, 4_000_000
+#: Characters of texts, and hits in them, that are looked at together.
+TEXT_CHARS, HITS = 1 << 20, 1 << 18
 
 
 def allowed(n: int, threshold: float) -> int:
@@ -116,6 +122,199 @@ class Index:
             yield no, 1.0 - edits / needle.pattern.n if edits <= needle.k else None
 
 
+def grouped(owners: Sequence[int], members: Sequence[int], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members by owner: where those of each of n owners begin, how many they are, and all of them."""
+    owner, member = np.array(owners, np.int64), np.array(members, np.int64)
+    counts = np.bincount(owner, minlength=n)
+    return np.cumsum(counts) - counts, counts, member[np.argsort(owner, kind="stable")]
+
+
+def spread(places: np.ndarray, owners: np.ndarray, by: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each place with each member of its owner, some HITS at a time."""
+    begin, counts, members = by
+    n = counts[owners]
+    places, owners, n = places[n > 0], owners[n > 0], n[n > 0]
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HITS, "right")))
+        some = n[at:to]
+        last = np.cumsum(some)
+        yield np.repeat(places[at:to], some), members[np.arange(last[-1]) + np.repeat(begin[owners[at:to]] - last + some, some)]
+        at = to
+
+
+class Sieve:
+    """Needles to be found in many texts at once.
+
+    A run is a stretch of a needle with one piece of it held in place: where its characters begin, those left of the piece's key, the key's and those right of it, the edits it may have. Runs lead from the
+    shortest to the longest, the whole needle; a run that several needles share is one.
+    """
+
+    def __init__(self, needles: Iterable[str], encoder: Encoder, threshold: float = 0.75):
+        self.needles, self.encoder = list(needles), encoder
+        code: dict[str, int] = {}
+        keys: dict[tuple[int, ...], int] = {}
+        known: dict[tuple, int] = {}
+        runs: list[tuple[int, int, int, int, int, int]] = []
+        first: dict[tuple[int, int], None] = {}
+        after: dict[tuple[int, int], None] = {}
+        letters: list[tuple[int, ...]] = []
+        for no, text in enumerate(self.needles):
+            tokens = [tuple(code.setdefault(r, len(code) + 1) for r in sorted(t)) for t in encoder.encode(text)]
+            k, at = allowed(len(tokens), threshold), len(letters)
+            edges = [len(tokens) * i // (k + 1) for i in range(k + 2)]
+            letters += tokens
+            around: list[list[tuple[int, int]]] = [[] for _ in range(k + 1)]
+            halves = [(0, k + 1)]
+            while halves:
+                a, b = halves.pop()
+                for piece in range(a, b) if b - a > 1 or not k else ():
+                    around[piece].insert(0, (a, b))
+                if b - a > 1:
+                    middle = (a + b + 1) // 2
+                    halves += [(a, middle), (middle, b)]
+            for piece, chain in enumerate(around):
+                size = min(edges[piece + 1] - edges[piece], KEY)
+                below = None
+                for a, b in chain:
+                    whole, begin, end = b - a == k + 1, edges[a], edges[b]
+                    left, edits = edges[piece] - begin, b - a - 1
+                    key = (no if whole else tuple(tokens[begin:end]), left, size, edits)
+                    run = known.setdefault(key, len(runs))
+                    if run == len(runs):
+                        runs.append((at + begin, left, size, end - begin - left - size, edits, no if whole else -1))
+                    if below is None:
+                        for readings in product(*tokens[edges[piece] : edges[piece] + size]):
+                            first[keys.setdefault(readings, len(keys)), run] = None
+                    else:
+                        after[below, run] = None
+                    below = run
+        self.code, self.base = code, len(code) + 2
+        self.begin, self.left, self.size, self.right, self.edits, self.no = np.array(runs, np.int64).reshape(-1, 6).T.copy()
+        shapes, self.shape = np.unique(np.stack([self.left, self.size, self.right, self.edits], 1), axis=0, return_inverse=True)
+        self.shapes, self.shape = shapes.tolist(), self.shape.reshape(-1)
+        self.after = grouped([a for a, _ in after], [b for _, b in after], len(runs))
+        self.lengths = np.array([len(encoder.encode(n)) for n in self.needles], np.int64)
+        self.most = max((r[4] for r in runs), default=0)
+        self.reach = int(self.lengths.max(initial=0)) + self.most + 1
+        self.kind = np.uint8 if self.base < 256 else np.uint16 if self.base < 65_536 else np.uint32
+        self.letters = self.arrays(letters, self.base - 1)
+        # the keys as a trie: a state and the next reading lead to a state of the next level
+        self.levels: list[np.ndarray] = []
+        self.firsts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        by_key: dict[int, list[int]] = {}
+        for key, run in first:
+            by_key.setdefault(key, []).append(run)
+        states: dict[tuple[int, ...], int] = {(): 0}
+        for depth in range(max(map(len, keys), default=0) + 1):
+            if depth:
+                steps = sorted({(states[k[: depth - 1]], k[depth - 1], k[:depth]) for k in keys if len(k) >= depth})
+                states = {prefix: i for i, (_, _, prefix) in enumerate(steps)}
+                self.levels.append(np.array([s * self.base + c for s, c, _ in steps], np.int64))
+            here = [(states[k], run) for k, i in keys.items() if len(k) == depth for run in by_key[i]]
+            self.firsts.append(grouped([s for s, _ in here], [r for _, r in here], len(states)))
+
+    def arrays(self, tokens: Sequence[tuple[int, ...]], none: int) -> list[np.ndarray]:
+        """The first readings of all tokens, the second ones and so on; none: where there are fewer."""
+        most = max(map(len, tokens), default=1) or 1
+        return [np.array([t[i] if i < len(t) else none for t in tokens], self.kind) for i in range(most)]
+
+    def beside(self, text: Sequence[np.ndarray], begin: np.ndarray, letters: Sequence[np.ndarray], at: np.ndarray, length: int, edits: int, step: int) -> np.ndarray:
+        """The least edits between so many letters and any stretch of the text, both read from a place on (step 1) or before it (step -1); more than edits: at least one more.
+
+        A cell of the band is a diagonal of the edit table; all hits go through it together.
+        """
+        kind = np.uint8 if length + edits < 250 else np.int64
+        away = lambda arrays, places, i: [a.take(places + (i if step > 0 else -1 - i)) for a in arrays]
+        heard = [away(text, begin, j) for j in range(length + edits)]
+        cells = {d: kind(d if d >= 0 else edits + 1) for d in range(-edits, edits + 1)}
+        for i in range(length):
+            own, new = away(letters, at, i), {}
+            for d in cells:
+                if i + d < -1:
+                    new[d] = kind(edits + 1)
+                elif i + d == -1:
+                    new[d] = kind(i + 1)
+                else:
+                    differs = reduce(np.logical_and, [x != y for x in heard[i + d] for y in own])
+                    cell = cells[d] + differs.view(np.uint8)
+                    if d < edits:
+                        cell = np.minimum(cell, cells[d + 1] + kind(1))
+                    if d > -edits:
+                        cell = np.minimum(cell, new[d - 1] + kind(1))
+                    new[d] = cell
+            cells = new
+        return np.broadcast_to(reduce(np.minimum, cells.values()), begin.shape)
+
+    def tried(self, text: Sequence[np.ndarray], places: np.ndarray, runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The hits whose runs stand at their places with no more edits than they may have, and the edits."""
+        order = np.argsort(self.shape[runs].astype(np.min_scalar_type(len(self.shapes))), kind="stable")
+        places, runs = places[order], runs[order]
+        edges = np.flatnonzero(np.diff(self.shape[runs])) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(runs)]):
+            if a == b:
+                continue
+            left, size, right, edits = self.shapes[self.shape[runs[a]]]
+            place, run = places[a:b], runs[a:b]
+            cost = np.zeros(len(run), np.int64)
+            for length, step in ((right, 1), (left, -1)):
+                if length and len(run):
+                    begin, at = (place + size, self.begin[run] + left + size) if step > 0 else (place, self.begin[run] + left)
+                    cost = cost + self.beside(text, begin, self.letters, at, length, edits, step)
+                    fits = cost <= edits
+                    place, run, cost = place[fits], run[fits], cost[fits]
+            yield place, run, cost
+
+    def hits(self, text: Sequence[np.ndarray], places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The places at which keys stand, with the shortest runs around them."""
+        state = np.zeros(len(places), np.int64)
+        for depth, by in enumerate(self.firsts):
+            if depth:
+                level, steps = self.levels[depth - 1], []
+                for readings in text:
+                    want = state * self.base + readings.take(places + depth - 1)
+                    to = np.minimum(np.searchsorted(level, want), len(level) - 1)
+                    there = level[to] == want
+                    steps.append((places[there], to[there]))
+                places, state = (np.concatenate(x) for x in zip(*steps))
+            yield from spread(places, state, by)
+
+    def together(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, needle (both by number) and similarity of all pairs that reach the threshold."""
+        # between texts stand characters without readings, more than there may be edits
+        gap, edge = [()] * (self.most + 1), [()] * self.reach
+        codes: dict[frozenset, tuple[int, ...]] = {}
+        tokens, starts, places = list(edge), [], []
+        for text in texts:
+            said = self.encoder._encode(text)
+            for t in set(said) - codes.keys():
+                codes[t] = tuple(c for r in sorted(t) if (c := self.code.get(r)))
+            starts.append(len(tokens))
+            places.append(np.arange(len(tokens), len(tokens) + len(said) + 1))
+            tokens += map(codes.__getitem__, said)
+            tokens += gap
+        tokens += edge
+        readings, starts = self.arrays(tokens, 0), np.array(starts, np.int64)
+        del tokens
+        span, found = self.most + 1, [np.empty(0, np.int64)]
+        where = np.concatenate(places)
+        for at in range(0, len(where), TEXT_CHARS):
+            for waiting in self.hits(readings, where[at : at + TEXT_CHARS]):
+                ahead = [waiting]
+                while ahead:
+                    for place, run, cost in self.tried(readings, *ahead.pop()):
+                        whole = self.no[run] >= 0
+                        pair = (np.searchsorted(starts, place[whole], "right") - 1) * len(self.needles) + self.no[run[whole]]
+                        found.append(np.unique(pair * span + cost[whole]))
+                        ahead += spread(place, run, self.after)
+        found = np.unique(np.concatenate(found))
+        found = found[np.unique(found // span, return_index=True)[1]]  # of a pair's hits the one with the least edits
+        pair, edits = found // span, found % span
+        text, no = pair // max(1, len(self.needles)), pair % max(1, len(self.needles))
+        return text, no, 1.0 - edits / self.lengths[no]
+
+
 def blocks(needles: DataFrame, column: str) -> Iterator[list[str]]:
     """The distinct needles in blocks that are small enough to be sent."""
     block, chars = [], 0
@@ -129,34 +328,40 @@ def blocks(needles: DataFrame, column: str) -> Iterator[list[str]]:
         yield block
 
 
-def looked_at(texts: DataFrame, needles: DataFrame, encoder: Encoder, key: str, text: str = "text", needle: str = "needle", threshold: float = 0.75) -> DataFrame:
-    """key, needle, similarity of all pairs that are verified as a whole; the similarity is null below the threshold. Both sides' texts are normalised."""
+def portions(texts: Iterable[str]) -> Iterator[tuple[int, list[str]]]:
+    """Texts that are looked at together, with the number of the first."""
+    some, first, chars = [], 0, 0
+    for i, text in enumerate(texts):
+        if some and chars + len(text) > TEXT_CHARS:
+            yield first, some
+            some, first, chars = [], i, 0
+        some.append(text)
+        chars += len(text)
+    if some:
+        yield first, some
+
+
+def contained(texts: DataFrame, needles: DataFrame, encoder: Encoder, key: str, text: str = "text", needle: str = "needle", threshold: float = 0.75) -> DataFrame:
+    """key, needle, similarity of all pairs of a text and a needle that it holds with at least the threshold. Both sides' texts are normalised."""
     spark, kind = texts.sparkSession, texts.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, needle string, similarity double"
-    known = texts.select(F.col(key), F.col(text).alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = texts.select(F.col(key), F.col(text).alias("text")).repartition(parts)
 
     def pass_of(block: list[str]) -> DataFrame:
-        sent = Sent(spark, Index(block, encoder, threshold))
+        sent = Sent(spark, Sieve(block, encoder, threshold))
 
         def look(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            index = sent.value
+            sieve = sent.value
+            names = pa.array(sieve.needles, pa.string())
             for batch in batches:
-                keys, names, scores = [], [], []
-                for i, value in enumerate(batch.column(1)):
-                    for no, score in index.found(value.as_py() or ""):
-                        keys.append(i)
-                        names.append(index.needles[no])
-                        scores.append(score)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[key, "needle", "similarity"])
+                for first, some in portions(value.as_py() or "" for value in batch.column(1)):
+                    at, no, score = sieve.together(some)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + first)), names.take(pa.array(no)), pa.array(score, pa.float64())], names=[key, "needle", "similarity"])
 
         return known.mapInArrow(look, schema)
 
     passes = [pass_of(block) for block in blocks(needles, needle)]
     return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], schema)
-
-
-def contained(texts: DataFrame, needles: DataFrame, encoder: Encoder, key: str, text: str = "text", needle: str = "needle", threshold: float = 0.75) -> DataFrame:
-    """key, needle, similarity of all pairs of a text and a needle that it holds with at least the threshold."""
-    return looked_at(texts, needles, encoder, key, text, needle, threshold).filter("similarity IS NOT NULL")

@@ -197,6 +197,36 @@ def test_fuzzy_join(spark, monkeypatch):
     assert got == want and fuzzy.contained(df, needles.limit(0), e, "id").count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.75, 0.9, 1.0])
+@pytest.mark.parametrize("signs", ["abcdef", "123一二三ab"])
+def test_many_texts_at_once_against_brute_force(monkeypatch, threshold, signs):
+    monkeypatch.setattr(fuzzy, "HITS", 500)
+    monkeypatch.setattr(fuzzy, "TEXT_CHARS", 100)
+    draw, e = random.Random(4), P.Encoder({"一": "yi", "二": "er", "三": "san"}, P.Dialect({"digits": {"1": ["yi", "yao"], "2": ["er"], "3": ["san"]}}), {})
+    needles = sorted({"".join(draw.choices(signs, k=draw.randint(1, 24))) for _ in range(40)})
+    texts = ["".join(draw.choices(signs + " ", k=draw.randint(0, 70))) for _ in range(12)] + ["", needles[3], f"{needles[5]} {needles[6]}"]
+    text, no, score = fuzzy.Sieve(needles, e, threshold).together(texts)
+    got = {(int(t), needles[n]): s for t, n, s in zip(text, no, score)}
+    assert len(got) == len(text) and got == {(i, n): s for i, t in enumerate(texts) for n in needles if (s := P.containment(e.encode(n), e.encode(t))) >= threshold}
+
+
+def test_many_needles_of_few_syllables(spark):
+    draw, e = random.Random(6), P.Encoder({}, P.Dialect({}), {})
+    syllables = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 4))) for _ in range(30)]
+    word = lambda least: next(w for w in iter(lambda: "".join(draw.choices(syllables, k=draw.randint(1, 6))), None) if len(w) >= least)
+    needles, texts = sorted({word(12) for _ in range(2_000)}), [" ".join(word(1) for _ in range(120)) for _ in range(40)]
+    sieve = fuzzy.Sieve(needles, e)
+    began = time.perf_counter()
+    text, no, score = sieve.together(texts)
+    assert time.perf_counter() - began < 4  # text by text and hit by hit 8 of the 40 texts took 5.6 seconds
+    some = range(0, len(needles), 100)
+    want = {(i, n): s for i, t in enumerate(texts[:8]) for n in some if (s := P.containment(e.encode(needles[n]), e.encode(t))) >= 0.75}
+    assert {(t, n): s for t, n, s in zip(text.tolist(), no.tolist(), score) if t < 8 and n in some} == want
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").coalesce(1)
+    found = fuzzy.contained(df, spark.createDataFrame([(n,) for n in needles[::100]], "needle string"), e, "id")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_rivals_are_those_of_the_loop(matcher):
     draw = random.Random(8)
     said = [normalised(t) for t in fixtures.TICKET] + ["".join(draw.choices("远方就地并列解列合闸分断开投入拉退出检查位置", k=9)) for _ in range(60)]
