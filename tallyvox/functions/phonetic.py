@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator, Mapping, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -77,17 +76,46 @@ def load_dialect(path: str, root: str = ".") -> Dialect:
     return Dialect({**{k: tree.get(k) or [] for k in ("initials", "finals", "syllables")}, "digits": tree.get("digit_readings") or {}}, tree.get("enabled", True))
 
 
+#: Characters of texts whose readings an encoder remembers, and characters whose own sets it does.
+REMEMBERED, SINGLES = 1_000_000, 65_536
+
+
 class Encoder:
-    """Texts to sequences of reading sets."""
+    """Texts to sequences of reading sets. Equal characters share one set, and what is remembered is bounded in characters, not in texts."""
 
     def __init__(self, table: Mapping[str, str], dialect: Dialect | None = None, phrases: Mapping[str, Sequence[str]] = PHRASES):
         dialect = dialect or Dialect()
         self.of = {ch: frozenset([dialect.folded(s)]) for ch, s in table.items()} | dialect.digits
         self.phrases = {p: [frozenset([dialect.folded(s)]) for s in r] for p, r in phrases.items()}
-        self.encode = lru_cache(maxsize=20_000)(self._encode)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, tuple[frozenset, ...]] = {}
+        self.single: dict[str, frozenset] = {}
+        self.room = REMEMBERED
+
+    def encode(self, text: str) -> tuple[frozenset, ...]:
+        tokens = self.known.get(text)
+        if tokens is None:
+            tokens = self._encode(text)
+            if len(text) <= REMEMBERED // 10:
+                self.room -= len(text) + 1
+                if self.room < 0:
+                    self.known.clear()
+                    self.room = REMEMBERED - len(text) - 1
+                self.known[text] = tokens
+        return tokens
+
+    def alone(self, ch: str) -> frozenset:
+        """The set of a character that has no reading but itself."""
+        found = frozenset([ch])
+        if len(self.single) < SINGLES:
+            self.single[ch] = found
+        return found
 
     def _encode(self, text: str) -> tuple[frozenset, ...]:
-        out = [self.of.get(ch) or frozenset([ch]) for ch in text]
+        of, single = self.of.get, self.single.get
+        out = [of(ch) or single(ch) or self.alone(ch) for ch in text]
         for phrase, readings in self.phrases.items():
             at = text.find(phrase)
             while at >= 0:
@@ -105,7 +133,7 @@ class Encoder:
 def _restored(of, phrases) -> Encoder:
     e = Encoder.__new__(Encoder)
     e.of, e.phrases = of, phrases
-    e.encode = lru_cache(maxsize=20_000)(e._encode)
+    e.forget()
     return e
 
 

@@ -1,6 +1,7 @@
 import itertools
 import random
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,6 +241,20 @@ def test_rivals_are_those_of_the_loop(matcher):
                 assert matcher.instead(value, group, text, own) == want
 
 
+def test_encoder_remembers_a_bounded_number_of_characters():
+    e, draw = P.Encoder({}, P.Dialect({}), {}), random.Random(9)
+    texts = ["".join(draw.choices("abcdefghij 知", k=1_000)) for _ in range(1_500)]
+    tracemalloc.start()
+    for text in texts:
+        assert e.encode(text) is e.encode(text)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 20_000_000  # a set for each character of 20,000 texts: over 300 MB for these
+    assert sum(map(len, e.known)) <= P.REMEMBERED
+    long = "a" * P.REMEMBERED
+    assert e.encode(long) == (frozenset("a"),) * len(long) and long not in e.known
+
+
 def test_dialect_and_readings(spark):
     e = P.encoder_for(spark)
     assert e.readable("女就地") == ["lv", "jiu", "di"] and e.readable("知资") == ["zi", "zi"] and e.readable("灰飞") == ["fei", "fei"]
