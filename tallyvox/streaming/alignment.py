@@ -9,7 +9,7 @@ whose ticket is finished, is dropped: it gives an event of the kind DROPPED, who
 else. A row without an idx only makes the ticket known. All state is in the checkpoint, so a restarted query goes on where it stopped.
 
 Without idle_ms there are no timers. Idleness is measured by the processing time, or by the event time of a column with a watermark: then results don't depend on when rows arrive. Rows behind the
-watermark don't reach the state; Spark drops and counts them itself (numRowsDroppedByWatermark). By processing time a query runs until it is stopped: its triggers look for idle tickets.
+watermark don't reach the state; Spark drops and counts them itself (numRowsDroppedByWatermark). Rows go in and out singly: most tickets have few in a trigger, and a data frame for each costs more than the fold. By processing time a query runs until it is stopped: its triggers look for idle tickets.
 """
 
 from __future__ import annotations
@@ -17,11 +17,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import astuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tallyvox.operators.alignment import EVENTS, Progress, Record, finished, frame, started, taken
+from tallyvox.operators.alignment import EVENTS, Progress, Record, finished, started, taken
 from tallyvox.settings import Settings
 from tallyvox.streaming.state import clocked, mode_of, on_disk, watch
 
@@ -49,12 +48,13 @@ class Aligner(StatefulProcessor):
         self.head = handle.getValueState("head", HEAD, self.keep_ms)
         self.records = handle.getListState("records", RECORD)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         ticket, waiting, items, latest = key[0], [], None, 0
-        for part in rows:
-            items = part["items"].iloc[0] if items is None else items
-            latest = max(latest, int(part["clock"].max()))
-            waiting += [r for r in zip(*(part[c].tolist() for c in COLUMNS[2:])) if not pd.isna(r[0])]
+        for row in rows:
+            items = row["items"] if items is None else items
+            latest = max(latest, row["clock"])
+            if row["idx"] is not None:
+                waiting.append(tuple(row[c] for c in COLUMNS[2:]))
         progress, dropped, done = self.restored(items)
         events = []
         for idx, role, text, heard, matches in sorted(waiting, key=lambda r: r[0]):
@@ -69,13 +69,13 @@ class Aligner(StatefulProcessor):
         self.keep(progress, dropped, done)
         if self.idle_ms is not None:
             watch(self.handle, None if done else (latest if self.event_time else timerValues.getCurrentProcessingTimeInMs()) + self.idle_ms)
-        yield frame(events, EVENTS)
+        yield from (Row(**e) for e in events)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         progress, dropped, done = self.restored([])
         events = [] if done else self.closed(key[0], progress)
         self.keep(progress, dropped, True)
-        yield frame(events, EVENTS)
+        yield from (Row(**e) for e in events)
 
     def closed(self, ticket: str, progress: Progress) -> list[dict]:
         """The events of items that are unconfirmed now that the ticket is finished."""
@@ -84,9 +84,10 @@ class Aligner(StatefulProcessor):
         return [bare(ticket, progress.last_idx + 1, "UNCONFIRMED", END, "", r.seq, progress.pointer) for r in pending]
 
     def restored(self, items) -> tuple[Progress, int, bool]:
-        if not self.head.exists():
+        head = self.head.get()
+        if head is None:
             return started(items), 0, False
-        pointer, last_idx, seq, verdict, dropped, done = self.head.get()
+        pointer, last_idx, seq, verdict, dropped, done = head
         records = [Record(seq, state, called, attempts, score, heard, list(reasons), list(conflicts)) for seq, state, called, attempts, score, heard, reasons, conflicts in (self.records.get() if self.records.exists() else ())]
         return Progress(records, pointer, None if seq is None else (seq, verdict), last_idx), dropped, done
 
@@ -109,4 +110,4 @@ def aligned_stream(rows: DataFrame, settings: Settings | None = None, idle_ms: i
     if keep_ms is not None and mode != "ProcessingTime":
         raise ValueError("state expires by processing time only")
     on_disk(rows.sparkSession)
-    return clocked(rows, COLUMNS, clock).groupBy("ticket_id").transformWithStateInPandas(Aligner(settings or Settings(), idle_ms, clock is not None, keep_ms), EVENTS, "append", mode)
+    return clocked(rows, COLUMNS, clock).groupBy("ticket_id").transformWithState(Aligner(settings or Settings(), idle_ms, clock is not None, keep_ms), EVENTS, "append", mode)

@@ -1,7 +1,9 @@
 import random
 import time
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyvox.functions.phonetic import encoder_for
@@ -11,7 +13,7 @@ from tallyvox.operators.matching import Matcher
 from tallyvox.operators.slots import Extractor
 from tallyvox.plans import fixtures
 from tallyvox.settings import Settings
-from tallyvox.streaming.alignment import END, aligned_stream
+from tallyvox.streaming.alignment import END, Aligner, aligned_stream
 
 T = fixtures.TICKET
 
@@ -208,3 +210,41 @@ def test_idle_by_processing_time(spark, tmp_path):
         assert got == want and want > 0
     finally:
         q.stop()
+
+
+class Held:
+    """One key's value or list in memory; counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.asked = None, 0
+
+    def exists(self):
+        self.asked += 1
+        return self.value is not None
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = None
+
+
+def test_stream_takes_and_gives_single_rows():
+    head, records, timers = Held(), Held(), []
+    handle = SimpleNamespace(getValueState=lambda *a: head, getListState=lambda *a: records, listTimers=lambda: timers, deleteTimer=timers.remove, registerTimer=timers.append)
+    aligner = Aligner(Settings(chatter=0.2), 1_000, True, None)
+    aligner.init(handle)
+    items = [{"pos": p, "seq": p + 1} for p in range(2)]
+    matches = lambda p: [{"pos": p, "score": 0.9, "verdict": "PASS", "reasons": [], "conflicts": []}]
+    row = lambda idx, p: Row(ticket_id="a", items=items, idx=idx, role="OPERATOR", text="x", heard="x", matches=matches(p), clock=idx * 10)
+    events = list(aligner.handleInputRows(("a",), iter([row(1, 0), Row(**row(0, 0).asDict() | {"idx": None})]), None))
+    assert all(isinstance(e, Row) for e in events) and [(e.idx, e.kind, e.seq) for e in events] == [(1, "VERIFIED", 1)] and timers == [1_010]
+    assert head.asked == 1  # the state is read at one go
+    events = list(aligner.handleInputRows(("a",), iter([row(1, 1)]), None)) + list(aligner.handleExpiredTimer(("a",), None, None))
+    assert [(e.idx, e.kind, e.seq) for e in events] == [(1, "DROPPED", None), (2, "UNCONFIRMED", 2)] and records.value is None
