@@ -8,6 +8,8 @@ only where all of them fit the whole needle is verified. The score is exact wher
 
 The join does the same on many texts at once: hits are arrays, a run is tried on all of its hits together, and needles share the runs that they have in common. The piece that stands
 unharmed holds a run in place, so the edits left and right of it are counted within a band that is as wide as they may be. The best of a needle's hits is exact.
+Most hits are dropped before that: a letter that stands nowhere near its place is an edit for certain, which bits tell for a whole run at once, on top of the edits that are known from the shorter run. And where
+a run stands unharmed, all its pieces do and lead to the same, so only the first one's hit goes on.
 
 Needles go out in blocks of bounded size, each broadcast; the texts are dealt to as many tasks as are configured, since looking into them costs far more than reading them. No key is hot,
 and work grows with the texts times the number of blocks. Needles are distinct texts; null or empty ones (which any text holds) are left out. A null text holds none.
@@ -15,7 +17,8 @@ and work grows with the texts times the number of blocks. Needles are distinct t
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
@@ -31,7 +34,7 @@ KEY = 5
 #: Needles in a block, and their characters.
 BLOCK_NEEDLES, BLOCK_CHARS = 50_000, 4_000_000
 #: Characters of texts, and hits in them, that are looked at together.
-TEXT_CHARS, HITS = 1 << 20, 1 << 18
+TEXT_CHARS, HITS = 1 << 20, 1 << 16
 
 
 def allowed(n: int, threshold: float) -> int:
@@ -122,26 +125,24 @@ class Index:
             yield no, 1.0 - edits / needle.pattern.n if edits <= needle.k else None
 
 
-def grouped(owners: Sequence[int], members: Sequence[int], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grouped(owner: np.ndarray, member: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Members by owner: where those of each of n owners begin, how many they are, and all of them."""
-    owner, member = np.array(owners, np.int64), np.array(members, np.int64)
     counts = np.bincount(owner, minlength=n)
     return np.cumsum(counts) - counts, counts, member[np.argsort(owner, kind="stable")]
 
 
-def spread(places: np.ndarray, owners: np.ndarray, by: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each place with each member of its owner, some HITS at a time."""
-    begin, counts, members = by
-    n = counts[owners]
-    places, owners, n = places[n > 0], owners[n > 0], n[n > 0]
-    ends = np.cumsum(n)
-    at = 0
-    while at < len(n):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HITS, "right")))
-        some = n[at:to]
-        last = np.cumsum(some)
-        yield np.repeat(places[at:to], some), members[np.arange(last[-1]) + np.repeat(begin[owners[at:to]] - last + some, some)]
-        at = to
+@dataclass
+class Step:
+    """From owners, which are keys or shorter runs, to runs of one shape: where those of each owner begin and how many they are, the runs, the edits they may have. For either side's letters that the owner
+    doesn't hold two stretches of the text, from a place on and so wide, in which the nearer and the farther half of them may stand, and each run's letters as bits, by code modulo 32; letters of several readings have none."""
+
+    shape: int
+    begin: np.ndarray
+    counts: np.ndarray
+    members: np.ndarray
+    edits: int
+    sections: list[list[tuple[int, int]]]
+    marks: list[np.ndarray]
 
 
 class Sieve:
@@ -191,18 +192,29 @@ class Sieve:
                         after[below, run] = None
                     below = run
         self.code, self.base = code, len(code) + 2
-        self.begin, self.left, self.size, self.right, self.edits, self.no = np.array(runs, np.int64).reshape(-1, 6).T.copy()
-        shapes, self.shape = np.unique(np.stack([self.left, self.size, self.right, self.edits], 1), axis=0, return_inverse=True)
-        self.shapes, self.shape = shapes.tolist(), self.shape.reshape(-1)
-        self.after = grouped([a for a, _ in after], [b for _, b in after], len(runs))
+        shapes, shape = np.unique(np.array([(*r[1:5], r[5] >= 0) for r in runs], np.int64).reshape(-1, 5), axis=0, return_inverse=True)
+        self.shapes, shape = shapes.tolist(), shape.reshape(-1)
+        # runs are numbered within their shape, after those of the shapes before
+        order = np.argsort(shape, kind="stable")
+        number, shape = np.argsort(order, kind="stable"), shape[order]
+        self.begin, self.no = np.array([(r[0], r[5]) for r in runs], np.int64).reshape(-1, 2)[order].T.copy()
+        self.lowest = np.searchsorted(shape, np.arange(len(self.shapes) + 1))
         self.lengths = np.array([len(encoder.encode(n)) for n in self.needles], np.int64)
         self.most = max((r[4] for r in runs), default=0)
         self.reach = int(self.lengths.max(initial=0)) + self.most + 1
         self.kind = np.uint8 if self.base < 256 else np.uint16 if self.base < 65_536 else np.uint32
         self.letters = self.arrays(letters, self.base - 1)
+        # steps from run to run, by the shapes of both
+        self.after: list[list[Step]] = []
+        steps = number[np.array(list(after), np.int64).reshape(-1, 2)]
+        for source in range(len(self.shapes)):
+            low, high = self.lowest[source : source + 2]
+            own = steps[shape[steps[:, 0]] == source]
+            own[:, 0] -= low
+            self.after.append(self.steps(shape, own, high - low, *self.shapes[source][:3:2]))
         # the keys as a trie: a state and the next reading lead to a state of the next level
         self.levels: list[np.ndarray] = []
-        self.firsts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.firsts: list[list[Step]] = []
         by_key: dict[int, list[int]] = {}
         for key, run in first:
             by_key.setdefault(key, []).append(run)
@@ -213,13 +225,64 @@ class Sieve:
                 states = {prefix: i for i, (_, _, prefix) in enumerate(steps)}
                 self.levels.append(np.array([s * self.base + c for s, c, _ in steps], np.int64))
             here = [(states[k], run) for k, i in keys.items() if len(k) == depth for run in by_key[i]]
-            self.firsts.append(grouped([s for s, _ in here], [r for _, r in here], len(states)))
+            own = np.array(here, np.int64).reshape(-1, 2)
+            own[:, 1] = number[own[:, 1]]
+            self.firsts.append(self.steps(shape, own, len(states), 0, 0))
+        # a run comes before those it lies in
+        self.order = sorted(range(len(self.shapes)), key=lambda s: sum(self.shapes[s][:3]))
 
     def arrays(self, tokens: Sequence[tuple[int, ...]], none: int) -> list[np.ndarray]:
         """The first readings of all tokens, the second ones and so on; none: where there are fewer."""
         most = max(map(len, tokens), default=1) or 1
         return [np.array([t[i] if i < len(t) else none for t in tokens], self.kind) for i in range(most)]
 
+    def steps(self, shape: np.ndarray, pairs: np.ndarray, n: int, left: int, right: int) -> list[Step]:
+        """Pairs of one of n owners and a run, by the run's shape; the edits left and right of the key are known for so many letters."""
+        out, of = [], shape[pairs[:, 1]]
+        for to in np.unique(of).tolist():
+            some = pairs[of == to]
+            begin, counts, members = grouped(some[:, 0], some[:, 1], n)
+            sections, marks = [], []
+            bits = np.left_shift(np.uint64(1), self.letters[0].astype(np.uint64) % np.uint64(32))
+            for more in self.letters[1:]:
+                bits[more != self.base - 1] = 0
+            whole_left, size, whole_right, edits, _ = self.shapes[to]
+            for known, length, step in ((right, whole_right, 1), (left, whole_left, -1)):
+                if known == length:
+                    continue
+                mark, section = np.zeros(len(members), np.uint64), []
+                for half, (a, b) in enumerate(((known, (known + length + 1) // 2), ((known + length + 1) // 2, length))):
+                    near, far = max(0, a - edits), b + edits
+                    section.append((size + near if step > 0 else -far, max(1, far - near)))
+                    for i in range(a, b):
+                        mark |= bits[self.begin[members] + whole_left + (size + i if step > 0 else -1 - i)] << np.uint64(32 * half)
+                sections.append(section)
+                marks.append(mark)
+            out.append(Step(to, begin, counts, members, edits, sections, marks))
+        return out
+
+    def spread(self, heard: Callable[[int], np.ndarray], places: np.ndarray, owners: np.ndarray, paid: np.ndarray | None, step: Step) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each place with each run of its owner, HITS at a time, if it may stand there after what is paid for the letters that are known: any other that isn't near its place costs an edit, too."""
+        n = step.counts[owners]
+        some = np.flatnonzero(n)
+        places, begin, n = places[some], step.begin[owners[some]], n[some]
+        seen = [~(heard(w0).take(places + a0).astype(np.uint64) | heard(w1).take(places + a1).astype(np.uint64) << np.uint64(32)) for (a0, w0), (a1, w1) in step.sections]
+        room = None if paid is None else np.minimum(step.edits - paid[some], 255).astype(np.uint8)
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HITS, "right")))
+            some = n[at:to]
+            last = np.cumsum(some)
+            which = np.arange(last[-1]) + np.repeat(begin[at:to] - last + some, some)
+            here = np.repeat(places[at:to], some)
+            missing = [np.bitwise_count(mark.take(which) & np.repeat(there[at:to], some)) for mark, there in zip(step.marks, seen)]
+            if missing:
+                fits = np.flatnonzero(reduce(np.add, missing) <= (step.edits if room is None else np.repeat(room[at:to], some)))
+                which, here = which.take(fits), here.take(fits)
+            yield here, step.members.take(which)
+            at = to
+
     def beside(self, text: Sequence[np.ndarray], begin: np.ndarray, letters: Sequence[np.ndarray], at: np.ndarray, length: int, edits: int, step: int) -> np.ndarray:
         """The least edits between so many letters and any stretch of the text, both read from a place on (step 1) or before it (step -1); more than edits: at least one more.
 
@@ -247,29 +310,22 @@ class Sieve:
             cells = new
         return np.broadcast_to(reduce(np.minimum, cells.values()), begin.shape)
 
-    def tried(self, text: Sequence[np.ndarray], places: np.ndarray, runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The hits whose runs stand at their places with no more edits than they may have, and the edits."""
-        order = np.argsort(self.shape[runs].astype(np.min_scalar_type(len(self.shapes))), kind="stable")
-        places, runs = places[order], runs[order]
-        edges = np.flatnonzero(np.diff(self.shape[runs])) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(runs)]):
-            if a == b:
-                continue
-            left, size, right, edits = self.shapes[self.shape[runs[a]]]
-            place, run = places[a:b], runs[a:b]
-            cost = np.zeros(len(run), np.int64)
-            for length, step in ((right, 1), (left, -1)):
-                if length and len(run):
-                    begin, at = (place + size, self.begin[run] + left + size) if step > 0 else (place, self.begin[run] + left)
-                    cost = cost + self.beside(text, begin, self.letters, at, length, edits, step)
-                    fits = cost <= edits
-                    place, run, cost = place[fits], run[fits], cost[fits]
-            yield place, run, cost
-
-    def hits(self, text: Sequence[np.ndarray], places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The places at which keys stand, with the shortest runs around them."""
+    def tried(self, text: Sequence[np.ndarray], places: np.ndarray, runs: np.ndarray, shape: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hits whose runs, all of one shape, stand at their places with no more edits than they may have, and the edits."""
+        left, size, right, edits, _ = self.shapes[shape]
+        cost = np.zeros(len(runs), np.int64)
+        for length, step in ((right, 1), (left, -1)):
+            if length and len(runs):
+                begin, at = (places + size, self.begin[runs] + left + size) if step > 0 else (places, self.begin[runs] + left)
+                cost = cost + self.beside(text, begin, self.letters, at, length, edits, step)
+                fits = np.flatnonzero(cost <= edits)
+                places, runs, cost = places[fits], runs[fits], cost[fits]
+        return places, runs, cost
+
+    def states(self, text: Sequence[np.ndarray], places: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length of keys the places and the states of the trie that are read there."""
         state = np.zeros(len(places), np.int64)
-        for depth, by in enumerate(self.firsts):
+        for depth in range(len(self.firsts)):
             if depth:
                 level, steps = self.levels[depth - 1], []
                 for readings in text:
@@ -278,36 +334,86 @@ class Sieve:
                     there = level[to] == want
                     steps.append((places[there], to[there]))
                 places, state = (np.concatenate(x) for x in zip(*steps))
-            yield from spread(places, state, by)
+            yield depth, places, state
+
+    def read(self, texts: Sequence[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The readings of all texts in a row, the places in them (a text's end is one, too), and where each text begins."""
+        # between texts stand characters without readings, more than there may be edits
+        sizes = np.array([len(t) for t in texts], np.int64)
+        gap = self.most + 1
+        starts = self.reach + np.cumsum(sizes + gap) - (sizes + gap)
+        row = "\0" * self.reach + "".join(t + "\0" * gap for t in texts) + "\0" * self.reach
+        inside = np.zeros(len(row), bool)
+        places = np.repeat(starts, sizes + 1) + np.arange(len(texts) + sizes.sum()) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)
+        inside[np.delete(places, np.cumsum(sizes + 1) - 1)] = True
+        signs = np.frombuffer(row.encode("utf-32-le", "surrogatepass"), np.uint32)
+        known = np.unique(signs)
+        codes = [tuple(c for r in sorted(self.encoder._encode(chr(sign))[0]) if (c := self.code.get(r))) for sign in known.tolist()]
+        phrases = [(p, [tuple(c for r in sorted(t) if (c := self.code.get(r))) for t in said]) for p, said in self.encoder.phrases.items() if p in row]
+        most = max([1, *map(len, codes), *(len(t) for _, said in phrases for t in said)])
+        readings, of = [], np.zeros(int(known[-1]) + 1, self.kind)
+        for i in range(most):
+            of[known] = [t[i] if i < len(t) else 0 for t in codes]
+            readings.append(np.where(inside, of[signs], self.kind(0)))
+        for phrase, said in phrases:
+            at = row.find(phrase)
+            while at >= 0:
+                for j, t in enumerate(said):
+                    for i in range(most):
+                        readings[i][at + j] = t[i] if i < len(t) else 0
+                at = row.find(phrase, at + len(phrase))
+        return readings, places, starts
 
     def together(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, needle (both by number) and similarity of all pairs that reach the threshold."""
-        # between texts stand characters without readings, more than there may be edits
-        gap, edge = [()] * (self.most + 1), [()] * self.reach
-        codes: dict[frozenset, tuple[int, ...]] = {}
-        tokens, starts, places = list(edge), [], []
-        for text in texts:
-            said = self.encoder._encode(text)
-            for t in set(said) - codes.keys():
-                codes[t] = tuple(c for r in sorted(t) if (c := self.code.get(r)))
-            starts.append(len(tokens))
-            places.append(np.arange(len(tokens), len(tokens) + len(said) + 1))
-            tokens += map(codes.__getitem__, said)
-            tokens += gap
-        tokens += edge
-        readings, starts = self.arrays(tokens, 0), np.array(starts, np.int64)
-        del tokens
+        text, where, starts = self.read(texts)
+        bits = np.zeros(len(text[0]), np.uint32)
+        for readings in text:
+            bits |= np.where(readings > 0, np.left_shift(np.uint32(1), readings.astype(np.uint32) % np.uint32(32)), np.uint32(0))
+        wide: dict[int, np.ndarray] = {1: bits}
+
+        def heard(width: int) -> np.ndarray:
+            """The marks of all stretches so wide, by where they begin."""
+            if width not in wide:
+                half = heard((width + 1) // 2)
+                both = half.copy()
+                both[: len(half) - width // 2] |= half[width // 2 :]
+                wide[width] = both
+            return wide[width]
+
         span, found = self.most + 1, [np.empty(0, np.int64)]
-        where = np.concatenate(places)
+        waiting: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.shapes]
+        held = [0] * len(self.shapes)
+
+        def add(places: np.ndarray, owners: np.ndarray, paid: np.ndarray | None, step: Step) -> None:
+            """Hits wait until they are many."""
+            for hits in self.spread(heard, places, owners, paid, step):
+                waiting[step.shape].append(hits)
+                held[step.shape] += len(hits[0])
+                if held[step.shape] >= HITS:
+                    settle(step.shape)
+
+        def settle(shape: int) -> None:
+            if held[shape]:
+                places, runs = (np.concatenate(x) for x in zip(*waiting[shape]))
+                waiting[shape], held[shape] = [], 0
+                places, runs, cost = self.tried(text, places, runs, shape)
+                if self.shapes[shape][0]:
+                    # where a whole run stands unharmed all its pieces do: the hit of the first one goes on
+                    harmed = np.flatnonzero(cost)
+                    places, runs, cost = places[harmed], runs[harmed], cost[harmed]
+                if self.shapes[shape][4]:
+                    pair = (np.searchsorted(starts, places, "right") - 1) * len(self.needles) + self.no[runs]
+                    found.append(np.unique(pair * span + cost))
+                for step in self.after[shape]:
+                    add(places, runs - self.lowest[shape], cost, step)
+
         for at in range(0, len(where), TEXT_CHARS):
-            for waiting in self.hits(readings, where[at : at + TEXT_CHARS]):
-                ahead = [waiting]
-                while ahead:
-                    for place, run, cost in self.tried(readings, *ahead.pop()):
-                        whole = self.no[run] >= 0
-                        pair = (np.searchsorted(starts, place[whole], "right") - 1) * len(self.needles) + self.no[run[whole]]
-                        found.append(np.unique(pair * span + cost[whole]))
-                        ahead += spread(place, run, self.after)
+            for depth, places, states in self.states(text, where[at : at + TEXT_CHARS]):
+                for step in self.firsts[depth]:
+                    add(places, states, None, step)
+        for shape in self.order:
+            settle(shape)
         found = np.unique(np.concatenate(found))
         found = found[np.unique(found // span, return_index=True)[1]]  # of a pair's hits the one with the least edits
         pair, edits = found // span, found % span

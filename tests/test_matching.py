@@ -228,6 +228,33 @@ def test_many_needles_of_few_syllables(spark):
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_edits_are_counted_for_few_hits(monkeypatch):
+    draw, e = random.Random(7), P.Encoder({}, P.Dialect({}), {})
+    syllables = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 4))) for _ in range(30)]
+    word = lambda least: next(w for w in iter(lambda: "".join(draw.choices(syllables, k=draw.randint(1, 6))), None) if len(w) >= least)
+    needles, texts = sorted({word(12) for _ in range(1_000)}), [" ".join(word(1) for _ in range(100)) for _ in range(12)]
+    sieve, counted = fuzzy.Sieve(needles, e), []
+    beside = sieve.beside
+    monkeypatch.setattr(sieve, "beside", lambda text, begin, *more: counted.append(len(begin)) or beside(text, begin, *more))
+    text, no, score = sieve.together(texts)
+    assert sum(counted) < 8 * sum(map(len, texts))  # 3.4 for each character; 20.5 when the edits of every hit were counted
+    some = range(0, len(needles), 40)
+    want = {(i, n): s for i, t in enumerate(texts) for n in some if (s := P.containment(e.encode(needles[n]), e.encode(t))) >= 0.75}
+    assert {(t, n): s for t, n, s in zip(text.tolist(), no.tolist(), score) if n in some} == want
+
+
+def test_read_texts_are_encoded_texts(spark):
+    e = P.encoder_for(spark)
+    texts = ["就地1重", "", "\0a重合闸就就地", "b", "𝄞就 地", "重复重合一行"]
+    sieve = fuzzy.Sieve(["就地重合闸", "一行100", "\0a𝄞重复"], e)
+    readings, places, starts = sieve.read(texts)
+    known = {c: r for r, c in sieve.code.items()}
+    for text, start in zip(texts, starts):
+        got = [{known[int(r[start + i])] for r in readings if r[start + i]} for i in range(len(text))]
+        assert got == [set(t) & sieve.code.keys() for t in e.encode(text)] and not any(r[start - 1] or r[start + len(text)] for r in readings)
+    assert len(places) == sum(len(t) + 1 for t in texts)
+
+
 def test_rivals_are_those_of_the_loop(matcher):
     draw = random.Random(8)
     said = [normalised(t) for t in fixtures.TICKET] + ["".join(draw.choices("远方就地并列解列合闸分断开投入拉退出检查位置", k=9)) for _ in range(60)]
