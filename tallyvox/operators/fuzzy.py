@@ -11,8 +11,8 @@ unharmed holds a run in place, so the edits left and right of it are counted wit
 Most hits are dropped before that: a letter that stands nowhere near its place is an edit for certain, which bits tell for a whole run at once, on top of the edits that are known from the shorter run. And where
 a run stands unharmed, all its pieces do and lead to the same, so only the first one's hit goes on.
 
-Needles go out in blocks of bounded size, each broadcast; the texts are dealt to as many tasks as are configured, since looking into them costs far more than reading them. No key is hot,
-and work grows with the texts times the number of blocks. Needles are distinct texts; null or empty ones (which any text holds) are left out. A null text holds none.
+Needles go out in blocks of bounded size, each broadcast; the texts are dealt to as many tasks as are configured, since looking into them costs far more than reading them. Equal texts stand beside
+each other and are looked into once for each batch, so a text with very many copies costs one task the writing of its rows alone, and work grows with the distinct texts times the number of blocks. Needles are distinct texts; null or empty ones (which any text holds) are left out. A null text holds none.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ from tallyvox.shipping import Sent
 #: The readings of so many characters of a piece are its key, which bounds the combinations where characters have several readings.
 KEY = 5
 #: Needles in a block, and their characters.
-BLOCK_NEEDLES, BLOCK_CHARS = 50_000, 4_000_000
+BLOCK_NEEDLES, BLOCK_CHARS = 100_000, 4_000_000
 #: Characters of texts, and hits in them, that are looked at together.
-TEXT_CHARS, HITS = 1 << 20, 1 << 16
+TEXT_CHARS, HITS = 1 << 20, 1 << 17
 
 
 def allowed(n: int, threshold: float) -> int:
@@ -131,6 +131,21 @@ def grouped(owner: np.ndarray, member: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.cumsum(counts) - counts, counts, member[np.argsort(owner, kind="stable")]
 
 
+def stretches(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of numbers whose sums are at most HITS, or that are one number."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HITS, "right")))
+        yield at, to
+        at = to
+
+
+def each(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of n members from where they begin, for all owners in a row."""
+    last = np.cumsum(n)
+    return np.arange(last[-1]) + np.repeat(begin - last + n, n)
+
+
 @dataclass
 class Step:
     """From owners, which are keys or shorter runs, to runs of one shape: where those of each owner begin and how many they are, the runs, the edits they may have. For either side's letters that the owner
@@ -268,20 +283,14 @@ class Sieve:
         places, begin, n = places[some], step.begin[owners[some]], n[some]
         seen = [~(heard(w0).take(places + a0).astype(np.uint64) | heard(w1).take(places + a1).astype(np.uint64) << np.uint64(32)) for (a0, w0), (a1, w1) in step.sections]
         room = None if paid is None else np.minimum(step.edits - paid[some], 255).astype(np.uint8)
-        ends = np.cumsum(n)
-        at = 0
-        while at < len(n):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HITS, "right")))
+        for at, to in stretches(n):
             some = n[at:to]
-            last = np.cumsum(some)
-            which = np.arange(last[-1]) + np.repeat(begin[at:to] - last + some, some)
-            here = np.repeat(places[at:to], some)
+            which, here = each(begin[at:to], some), np.repeat(places[at:to], some)
             missing = [np.bitwise_count(mark.take(which) & np.repeat(there[at:to], some)) for mark, there in zip(step.marks, seen)]
             if missing:
                 fits = np.flatnonzero(reduce(np.add, missing) <= (step.edits if room is None else np.repeat(room[at:to], some)))
                 which, here = which.take(fits), here.take(fits)
             yield here, step.members.take(which)
-            at = to
 
     def beside(self, text: Sequence[np.ndarray], begin: np.ndarray, letters: Sequence[np.ndarray], at: np.ndarray, length: int, edits: int, step: int) -> np.ndarray:
         """The least edits between so many letters and any stretch of the text, both read from a place on (step 1) or before it (step -1); more than edits: at least one more.
@@ -447,12 +456,22 @@ def portions(texts: Iterable[str]) -> Iterator[tuple[int, list[str]]]:
         yield first, some
 
 
+def mentions(sieve: Sieve, rows: Sequence[int], texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, needle and similarity of all pairs that reach the threshold, a bounded number at a time; each row has one of the texts, which are distinct, by number."""
+    begin, counts, members = grouped(np.asarray(rows, np.int64), np.arange(len(rows)), len(texts))
+    for first, some in portions(texts):
+        at, no, score = sieve.together(some)
+        n = counts[at + first]
+        for a, b in stretches(n):
+            yield members[each(begin[at[a:b] + first], n[a:b])], np.repeat(no[a:b], n[a:b]), np.repeat(score[a:b], n[a:b])
+
+
 def contained(texts: DataFrame, needles: DataFrame, encoder: Encoder, key: str, text: str = "text", needle: str = "needle", threshold: float = 0.75) -> DataFrame:
     """key, needle, similarity of all pairs of a text and a needle that it holds with at least the threshold. Both sides' texts are normalised."""
     spark, kind = texts.sparkSession, texts.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, needle string, similarity double"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = texts.select(F.col(key), F.col(text).alias("text")).repartition(parts)
+    known = texts.select(F.col(key), F.col(text).alias("text")).repartition(parts, "text").sortWithinPartitions("text")
 
     def pass_of(block: list[str]) -> DataFrame:
         sent = Sent(spark, Sieve(block, encoder, threshold))
@@ -463,9 +482,9 @@ def contained(texts: DataFrame, needles: DataFrame, encoder: Encoder, key: str,
             sieve = sent.value
             names = pa.array(sieve.needles, pa.string())
             for batch in batches:
-                for first, some in portions(value.as_py() or "" for value in batch.column(1)):
-                    at, no, score = sieve.together(some)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + first)), names.take(pa.array(no)), pa.array(score, pa.float64())], names=[key, "needle", "similarity"])
+                said = batch.column(1).fill_null("").dictionary_encode()
+                for row, no, score in mentions(sieve, said.indices.to_numpy(), said.dictionary.to_pylist()):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), names.take(pa.array(no)), pa.array(score, pa.float64())], names=[key, "needle", "similarity"])
 
         return known.mapInArrow(look, schema)
 

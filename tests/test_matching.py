@@ -255,6 +255,20 @@ def test_read_texts_are_encoded_texts(spark):
     assert len(places) == sum(len(t) + 1 for t in texts)
 
 
+def test_equal_texts_are_looked_into_once(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "HITS", 50)
+    e = P.Encoder({}, P.Dialect({}), {})
+    needles, texts, rows = ["abcdefgh", "stuvwxyz"], ["no", "an abcdefg, stuvxyz", "stuvwxyz"], [1, 0, 1, 2] * 40
+    sieve, looked = fuzzy.Sieve(needles, e), []
+    monkeypatch.setattr(sieve, "together", lambda some: looked.extend(some) or fuzzy.Sieve.together(sieve, some))
+    got = [(int(r), needles[n], s) for row, no, score in fuzzy.mentions(sieve, rows, texts) for r, n, s in zip(row, no, score)]
+    want = {(i, n): s for i, t in enumerate(rows) for n in needles if (s := P.containment(e.encode(n), e.encode(texts[t]))) >= 0.75}
+    assert looked == texts and len(got) == len(want) == 200 and {(i, n): s for i, n, s in got} == want
+    df = spark.createDataFrame([(i, texts[t]) for i, t in enumerate(rows)], "id long, text string")
+    found = fuzzy.contained(df, spark.createDataFrame([(n,) for n in needles], "needle string"), e, "id").collect()
+    assert len(found) == 200 and {(r.id, r.needle): r.similarity for r in found} == want
+
+
 def test_rivals_are_those_of_the_loop(matcher):
     draw = random.Random(8)
     said = [normalised(t) for t in fixtures.TICKET] + ["".join(draw.choices("远方就地并列解列合闸分断开投入拉退出检查位置", k=9)) for _ in range(60)]
